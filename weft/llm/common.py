@@ -10,11 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.runtime import ship_package
+
 #: Characters between words everywhere in this folder: ``[\x20\x09-\x0D]``.
 #: ``bytes.split()`` cuts at exactly these.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def in_workers(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package importable in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

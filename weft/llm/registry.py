@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup
+from weft.llm import exact_dedup, packing, tokens
 
 QUERIES = {
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_token_counts": tokens.op8_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
