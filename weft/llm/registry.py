@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup, packing, tokens
+from weft.llm import exact_dedup, packing, quality_rules, tokens
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_counts": tokens.op8_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
