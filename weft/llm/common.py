@@ -68,3 +68,32 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def crc32_of_id(id_col: str) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def _bit(keys: list[Column], filter_bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << filter_bits))
+
+
+def bitmap_of(groups: DataFrame, keys: list[str], filter_bits: int) -> Column:
+    """Whether a row's ``keys`` may be among those of ``groups``: a bitmap, probed per row.
+
+    True for all of them and for few others, so a join may follow on less rows.
+
+    The bitmap is an array of ``2**(filter_bits - 6)`` longs, so its size is
+    fixed by the parameter.
+    """
+    words = (
+        groups.select(_bit([F.col(k) for k in keys], filter_bits).alias("bit"))
+        .groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+    )
+    every = groups.sparkSession.range(1 << (filter_bits - 6)).withColumnRenamed("id", "word")
+    dense = (
+        every.join(words, "word", "left")
+        .agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+        .select(F.col("w.bits").alias("bitmap"))
+    )
+    bit = _bit([F.col(k) for k in keys], filter_bits)
+    word = F.get(dense.scalar(), F.shiftright(bit, 6).cast("int"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    return word.bitwiseAND(mask) != 0

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import BLANKS, cut, table, text_or_empty
+from weft.llm.common import BLANKS, bitmap_of, cut, table, text_or_empty
 
 
 def normalised(text_col: str) -> Column:
@@ -37,33 +37,6 @@ def normalised(text_col: str) -> Column:
     return reduce(lambda c, b: F.replace(c, F.lit(b), F.lit("")), BLANKS, text_or_empty(text_col))
 
 
-def _bit(keys: list[Column], filter_bits: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << filter_bits))
-
-
-def _survivors(groups: DataFrame, keys: list[str], filter_bits: int) -> Column:
-    """Whether a row's keys may be among ``groups``: a scalar bitmap, probed per row.
-
-    The bitmap is an array of ``2**(filter_bits - 6)`` longs, so its size is
-    fixed by the parameter.
-    """
-    words = (
-        groups.select(_bit([F.col(k) for k in keys], filter_bits).alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
-    )
-    every = groups.sparkSession.range(1 << (filter_bits - 6)).withColumnRenamed("id", "word")
-    dense = (
-        every.join(words, "word", "left")
-        .agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
-        .select(F.col("w.bits").alias("bitmap"))
-    )
-    bit = _bit([F.col(k) for k in keys], filter_bits)
-    word = F.get(dense.scalar(), F.shiftright(bit, 6).cast("int"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    return word.bitwiseAND(mask) != 0
-
-
 def exact_dedup(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -101,7 +74,7 @@ def exact_dedup(
     # levels 1 and 2: counts by length and prefix; a length seen once ends here,
     # and so does a prefix seen once within its length
     by_head = facts.groupBy("_len", "_head").count().filter("count > 1")
-    survives = _survivors(by_head, ["_len", "_head"], filter_bits)
+    survives = bitmap_of(by_head, ["_len", "_head"], filter_bits)
     if digest:
         hashed = facts.withColumn("_open", survives)
     else:
