@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup, packing, quality_rules, tokens
+from weft.llm import exact_dedup, near_dedup, packing, quality_rules, tokens
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_setsketch_near_dedup": near_dedup.op5_setsketch_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_counts": tokens.op8_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
