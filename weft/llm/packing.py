@@ -19,6 +19,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,61 +31,50 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import cut, in_workers, sliced, table
 
-#: Longer chunks are encoded each time.
-CHUNK_CHARS = 48
-#: Chunks that a worker's cache may hold; it is emptied when full.
-CACHE_CHUNKS = 600_000
+#: How a byte-level BPE of this kind cuts texts into pre-tokens.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs without a blank that are left to the vocabulary file's own library.
+LONG_RUN = 2000
 
 
-class Ids(dict):
-    """Ids, as little-endian 32-bit numbers, by chunk with a blank before it.
+class Ids:
+    """Ids of a text, as little-endian 32-bit numbers.
 
-    A text is cut before each single blank that has no white space beside it:
-    no pre-token of a byte-level BPE reaches over such a place, so chunks can be
-    encoded apart. None stands for a chunk that borders on white space.
+    The vocabulary file's merges are run by the faster of two libraries that
+    give the same ids for it. Texts on which their expressions could differ go
+    to the file's own library: texts with a special token's string, with
+    characters beyond those that every Unicode version of late classes alike,
+    or with very long runs without a blank.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        alphabet = byte_alphabet()
+        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("weft", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        strings = "|".join(map(re.escape, special))
+        self.odd = re.compile(rf"[^\x00-\u036f\u2010-\u2027]|\S{{{LONG_RUN}}}" + f"|{strings}" * bool(strings))
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def of(self, text: str) -> bytes:
+        if self.odd.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        ids = self.encoded(f" {chunk}")
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
 
-    def of(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.merged(first, rest) if rest else self.encoded(text)
-        found = [self[x] for x in rest]
-        if None in found:
-            return self.merged(first, rest)
-        return self.encoded(first) + b"".join(found)
-
-    def merged(self, run: str, rest: list[str]) -> bytes:
-        """Chunks that border on white space are encoded with their neighbours."""
-        out, start = [], True
-        for x in rest:
-            safe = run and not run[-1].isspace() and x and not x[0].isspace()
-            if safe:
-                out.append(self.encoded(run) if start else self[run] or self.encoded(f" {run}"))
-                run, start = x, False
-            else:
-                run = f"{run} {x}"
-        out.append(self.encoded(run) if start else self[run] or self.encoded(f" {run}"))
-        return b"".join(out)
+def byte_alphabet() -> dict[str, int]:
+    """Bytes by the character that stands for them in a byte-level vocabulary:
+    printable ones for themselves, the others for characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 #: One per worker process and vocabulary, kept from task to task.
