@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup, near_dedup, packing, quality_rules, tokens
+from weft.llm import compression_quality, exact_dedup, near_dedup, packing, quality_rules, secret_scan, tokens, toxicity
 
 QUERIES = {
+    "op2_compression_quality": compression_quality.op2_compression_quality,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op9_factorization_toxicity": toxicity.op9_factorization_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_setsketch_near_dedup": near_dedup.op5_setsketch_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
