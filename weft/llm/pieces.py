@@ -82,7 +82,9 @@ class Vocabulary:
         self.unknown = min((s for _, s in self.score.values() if s > -1e8), default=0.0) - UNKNOWN_COST
         self.longest = max(map(len, self.score), default=1)
         self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        self.together = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        # one table to walk: a piece's id and score, or None for what only begins pieces
+        self.walk = {p: self.score.get(p) for p in self.starts}
+        self.together = {(p[k], p[k + 1]) for p in self.score for k in range(len(p) - 1)}
         self.data = [
             bytes([int(t[1:-1], 16)]) if k == self.BYTE else t.replace(SPACE, " ").encode() if k in (1, 4) else b""
             for t, k in zip(self.text, kinds, strict=True)
@@ -106,6 +108,50 @@ class Vocabulary:
                 ends[a + 1].append((a, ids, self.unknown))
         return ends
 
+    def best(self, run: str) -> tuple[float, tuple[int, ...], float]:
+        """Score and ids of the best path, and what the second best costs more.
+
+        The second best path has an edge that the best has not; so its score is
+        the largest, over those edges, of the scores on both sides and its own.
+        """
+        n, walk, longest = len(run), self.walk, self.longest
+        low = float("-inf")
+        forward, back = [low] * (n + 1), [None] * (n + 1)
+        forward[0] = 0.0
+        edges = []
+        for a in range(n):
+            here, known = forward[a], False
+            for b in range(a + 1, min(n, a + longest) + 1):
+                hit = walk.get(run[a:b], low)
+                if hit is low:
+                    break
+                if hit:
+                    known |= b == a + 1
+                    edge = (a, b, hit[0], hit[1])
+                    edges.append(edge)
+                    if here + hit[1] > forward[b]:
+                        forward[b], back[b] = here + hit[1], edge
+            if not known:
+                edge = (a, a + 1, -1, self.unknown)
+                edges.append(edge)
+                if here + self.unknown > forward[a + 1]:
+                    forward[a + 1], back[a + 1] = here + self.unknown, edge
+        backward = [low] * n + [0.0]
+        for a, b, _, s in reversed(edges):
+            if s + backward[b] > backward[a]:
+                backward[a] = s + backward[b]
+        path, at = [], n
+        while at:
+            path.append(back[at])
+            at = back[at][0]
+        path.reverse()
+        taken = set(path)
+        second = max((forward[e[0]] + e[3] + backward[e[1]] for e in edges if e not in taken), default=low)
+        ids = []
+        for a, _, i, _ in path:
+            ids += [i] if i >= 0 else [self.bytes[x] for x in run[a].encode()] if self.bytes else [0]
+        return forward[n], tuple(ids), forward[n] - second
+
     def n_best(self, run: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the best ``n`` paths, best first; ties by fewer and then smaller ids."""
         ends = self.edges(run)
@@ -164,14 +210,14 @@ class Encoder(dict):
     def built(self, text: str) -> Run:
         """A run; where it can be cut, from its parts, of which the first may be cached."""
         v = self.vocabulary
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in v.together]
+        together = v.together
+        cuts = [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in together]
         if cuts:
             parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
             runs = [self[p[1:]] if p[0] == SPACE else self.part(p) for p in parts]
             return Run(text, runs, sum(r.score for r in runs), min(r.cost for r in runs), b"".join(r.data for r in runs), b"".join(r.merged for r in runs))
-        paths = v.n_best(text, 2)
-        cost = paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf")
-        return Run(text, None, paths[0][0], cost, _packed(paths[0][1]), self.merged(text))
+        score, ids, cost = v.best(text)
+        return Run(text, None, score, cost, _packed(ids), self.merged(text))
 
     def part(self, text: str) -> Run:
         key = "\0" + text
