@@ -199,12 +199,15 @@ def judge(
     far_words: float = 0.15,
     far_chars: float = 0.08,
     noise: float = 0.7,
+    rows: bool = False,
 ) -> DataFrame:
     """Per row: the id, base counts, ``base_failed``, ``kept``, the two divergences and the nearest language.
 
     ``far_words`` widens by ``noise * (words in the histogram) / n_words``, about
-    what chance adds to the divergence of so few draws.
+    what chance adds to the divergence of so few draws. With ``rows``, the kept
+    rows of ``df`` come back instead of verdicts.
     """
+    at = df.columns.index(text_col) if rows else 1
     found = references(df, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(found)
 
@@ -214,7 +217,7 @@ def judge(
         classes = np.array([refs[x][0] for x in langs], float).reshape(-1, len(CLASSES) - 1)
         for batch in sliced(batches):
             out: list = [[] for _ in range(10)]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(at).to_pylist():
                 text = text or ""
                 data = text.encode()
                 words = data.split()
@@ -243,11 +246,17 @@ def judge(
                         kept = False
                 for column, v in zip(out, (n, *base, failed, kept, by_words, by_chars, near), strict=True):
                     column.append(v)
+            if rows:
+                yield batch.filter(pa.array(out[6], pa.bool_()))
+                continue
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=_NAMES
             )
 
+    if rows:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        return in_workers(df, score, kinds)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = ", ".join(f"{n} {t}" for n, t in zip(_NAMES, [id_type, *_TYPES], strict=True))
     source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
@@ -258,5 +267,14 @@ _NAMES = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 _TYPES = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2 + ["string"]
 
 
+def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that the rules keep, with its columns.
+
+    The verdict is given in the same pass that reads the row, so rows need no
+    id, and no text is shuffled.
+    """
+    return judge(df, text_col=text_col, lang_col=lang_col, rows=True)
+
+
 def op4_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
