@@ -4,7 +4,7 @@ Two zstandard dictionaries are built from labelled text, one from each class.
 A text is compressed with both, block by block so that the dictionaries, not the
 text's own past, explain each block; the difference of the sizes, divided by
 their sum, tells which class it resembles. A logistic curve, fitted on labelled
-texts that the dictionaries have not seen, makes the difference a score.
+texts and dictionaries that have not seen them, makes the difference a score.
 
 Learnt from at most ``most`` labelled rows of each class (a documented bound)
 outside the held-out remainder; scores read whole texts and nothing else.
@@ -84,18 +84,25 @@ class Sizes:
 
 
 def fit(texts: list[str], y: np.ndarray, share: float) -> Model | None:
-    """Dictionaries from half of the texts, the curve from the other half."""
+    """Dictionaries from all texts; the curve from each half, measured with the other half's dictionaries."""
+
+    def both(use: np.ndarray) -> tuple[bytes, bytes]:
+        return tuple(build_dictionary([t for t, c, u in zip(texts, y, use, strict=True) if u and c == k]) for k in (1, 0))
+
     if len(set(y.tolist())) < 2:
         return None
-    half = np.arange(len(y)) % 2 == 0
-    if len(set(y[half].tolist())) < 2 or len(set(y[~half].tolist())) < 2:
-        half[:] = True
-    good = build_dictionary([t for t, c, h in zip(texts, y, half, strict=True) if c == 1 and h])
-    bad = build_dictionary([t for t, c, h in zip(texts, y, half, strict=True) if c == 0 and h])
-    sizes = Sizes(good, bad)
-    rest = ~half if (~half).any() else half
-    x = np.array([sizes.features(t) for t, h in zip(texts, rest, strict=True) if h])
-    return Model(good, bad, fit_logistic(x, y[rest], share))
+    everything = np.ones(len(y), bool)
+    place = np.empty(len(y), int)  # halves of either class
+    for k in (0, 1):
+        place[y == k] = np.arange((y == k).sum())
+    halves = [place % 2 == k for k in (0, 1)]
+    if any(len(set(y[h].tolist())) < 2 for h in halves):
+        halves = [everything]
+    x = np.empty((len(y), 5))
+    for h in halves:
+        sizes = Sizes(*both(~h if len(halves) == 2 else h))
+        x[h] = [sizes.features(t) for t, u in zip(texts, h, strict=True) if u]
+    return Model(*both(everything), fit_logistic(x, y, share))
 
 
 def score_quality(df: DataFrame, model: Model | None, id_col: str, text_col: str, threshold: float = 0.7) -> DataFrame:

@@ -300,9 +300,17 @@ def made_up_other(rng: random.Random) -> list[str]:
     """Words that are long or odd, but no secrets."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèñó") for _ in range(k))
+
+    def url() -> list[str]:
+        path = "".join("/" + letters(rng.randint(1, 10)) for _ in range(rng.randint(0, 4)))
+        query = rng.choice(["", "", f"?{letters(rng.randint(1, 4))}={n(rng.randint(1, 5))}", f"#{letters(5)}", ".html"])
+        end = rng.choice(["", "", ".", ",", ")"])
+        return [f"{rng.choice(['https://', 'http://', 'www.'])}{letters(rng.randint(3, 12))}.{rng.choice(['org', 'com', 'net', 'io', 'example.org'])}{path}{query}{end}"]
+
     kinds = [
         lambda: [f"{letters(6)}.{n(2)}@mail{n(1)}.example.com"],
-        lambda: [f"https://{letters(8)}.org/{letters(10)}/{letters(7)}?id={n(3)}"],
+        url,
+        url,
         lambda: [f"{n(3)}.{n(2)}.{n(3)}.{n(2)}"],
         lambda: ["+1", f"({n(3)})", f"{n(3)}-{n(4)}"],
         lambda: [letters(rng.randint(12, 40))],
@@ -329,7 +337,7 @@ def training_windows(texts: list[str], per_text: int = 4, seed: int = 5) -> list
             at = rng.randrange(max(len(clean) - 16, 1))
             window, tags = clean[at : at + 16], []
             put = rng.random()
-            new = made_up_secret(rng) if put < 0.5 else made_up_other(rng) if put < 0.8 else []
+            new = made_up_secret(rng) if put < 0.45 else made_up_other(rng) if put < 0.85 else []
             k = rng.randrange(len(window) + 1)
             window = window[:k] + new + window[k:]
             for w in window:
