@@ -23,7 +23,9 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -111,46 +113,55 @@ class Vocabulary:
     def best(self, run: str) -> tuple[float, tuple[int, ...], float]:
         """Score and ids of the best path, and what the second best costs more.
 
-        The second best path has an edge that the best has not; so its score is
-        the largest, over those edges, of the scores on both sides and its own.
+        Forward Viterbi with the two best scores of each place: the second best
+        way there is one of the two best ways to some place before, and an edge.
         """
-        n, walk, longest = len(run), self.walk, self.longest
+        n, walk, longest = len(run), self.walk.get, self.longest
         low = float("-inf")
-        forward, back = [low] * (n + 1), [None] * (n + 1)
-        forward[0] = 0.0
-        edges = []
+        first, second = [low] * (n + 1), [low] * (n + 1)
+        back: list = [None] * (n + 1)
+        first[0] = 0.0
         for a in range(n):
-            here, known = forward[a], False
+            one, two = first[a], second[a]
+            known = False
             for b in range(a + 1, min(n, a + longest) + 1):
-                hit = walk.get(run[a:b], low)
+                hit = walk(run[a:b], low)
                 if hit is low:
                     break
-                if hit:
-                    known |= b == a + 1
-                    edge = (a, b, hit[0], hit[1])
-                    edges.append(edge)
-                    if here + hit[1] > forward[b]:
-                        forward[b], back[b] = here + hit[1], edge
+                if not hit:
+                    continue
+                if b == a + 1:
+                    known = True
+                s = one + hit[1]
+                if s > first[b]:
+                    second[b] = first[b]
+                    first[b] = s
+                    back[b] = (a, hit[0])
+                elif s > second[b]:
+                    second[b] = s
+                s = two + hit[1]
+                if s > second[b]:
+                    second[b] = s
             if not known:
-                edge = (a, a + 1, -1, self.unknown)
-                edges.append(edge)
-                if here + self.unknown > forward[a + 1]:
-                    forward[a + 1], back[a + 1] = here + self.unknown, edge
-        backward = [low] * n + [0.0]
-        for a, b, _, s in reversed(edges):
-            if s + backward[b] > backward[a]:
-                backward[a] = s + backward[b]
-        path, at = [], n
+                b, s = a + 1, one + self.unknown
+                if s > first[b]:
+                    second[b] = first[b]
+                    first[b] = s
+                    back[b] = (a, -1)
+                elif s > second[b]:
+                    second[b] = s
+                if two + self.unknown > second[b]:
+                    second[b] = two + self.unknown
+        ids, at = [], n
         while at:
-            path.append(back[at])
-            at = back[at][0]
-        path.reverse()
-        taken = set(path)
-        second = max((forward[e[0]] + e[3] + backward[e[1]] for e in edges if e not in taken), default=low)
-        ids = []
-        for a, _, i, _ in path:
-            ids += [i] if i >= 0 else [self.bytes[x] for x in run[a].encode()] if self.bytes else [0]
-        return forward[n], tuple(ids), forward[n] - second
+            a, i = back[at]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += [self.bytes[x] for x in reversed(run[a].encode())] if self.bytes else [0]
+            at = a
+        ids.reverse()
+        return first[n], tuple(ids), first[n] - second[n]
 
     def n_best(self, run: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the best ``n`` paths, best first; ties by fewer and then smaller ids."""
@@ -181,7 +192,11 @@ class Run:
 
 
 def _packed(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    """Little-endian 32-bit numbers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 class Encoder(dict):
@@ -194,11 +209,12 @@ class Encoder(dict):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.blank = self.library.piece_to_id(SPACE)
         self.lists: dict = {}
-        # what the library puts before a text comes off again, piece by piece
-        self.extra = self.library.encode("", out_type=int)
 
     def __missing__(self, word: str) -> Run:
-        run = self.built(SPACE + word)
+        return self.kept(word, self.merged(SPACE + word))
+
+    def kept(self, word: str, merged: bytes) -> Run:
+        run = self.built(SPACE + word, merged)
         if len(word) <= 48:
             if len(self) >= CACHE_RUNS:
                 for key in list(self)[: CACHE_RUNS // 2]:
@@ -207,36 +223,42 @@ class Encoder(dict):
             self[word] = run
         return run
 
-    def built(self, text: str) -> Run:
-        """A run; where it can be cut, from its parts, of which the first may be cached."""
-        v = self.vocabulary
-        together = v.together
-        cuts = [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in together]
+    def built(self, text: str, merged: bytes) -> Run:
+        """A run; where it can be cut, from its parts, of which the first may be cached.
+
+        The library's ids are the same at once and part by part: it can't merge
+        over a cut either.
+        """
+        together = self.vocabulary.together
+        # words of letters alone are rarely cut, and needn't be
+        cuts = [] if text[1:].isalpha() else [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in together]
         if cuts:
             parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
             runs = [self[p[1:]] if p[0] == SPACE else self.part(p) for p in parts]
-            return Run(text, runs, sum(r.score for r in runs), min(r.cost for r in runs), b"".join(r.data for r in runs), b"".join(r.merged for r in runs))
-        score, ids, cost = v.best(text)
-        return Run(text, None, score, cost, _packed(ids), self.merged(text))
+            return Run(text, runs, sum([r.score for r in runs]), min([r.cost for r in runs]), b"".join([r.data for r in runs]), merged)
+        score, ids, cost = self.vocabulary.best(text)
+        return Run(text, None, score, cost, _packed(ids), merged)
+
+    def prepare(self, words: list[str]) -> None:
+        """The words that aren't cached, encoded by the library in one call."""
+        new = [w for w in dict.fromkeys(words) if w not in self and w]
+        if len(new) > 1:
+            for w, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
+                self.kept(w, _packed(ids))
 
     def part(self, text: str) -> Run:
         key = "\0" + text
         run = self.get(key)
         if run is None:
-            run = self.built(text)
+            run = self.built(text, b"")  # of a part, only the lattice's paths are asked for
             if len(text) <= 48:
                 self[key] = run
         return run
 
     def merged(self, text: str) -> bytes:
-        """The library's ids of a run. It puts a blank before each text, which is
-        taken for the run's own, or comes off at a cut."""
-        if text[0] == SPACE:
-            return _packed(self.library.encode(text[1:].replace(SPACE, " "))) if len(text) > 1 else _packed([self.blank])
-        # a line feed is in no piece, so what follows it is encoded as within a text
-        ids = self.library.encode("\n" + text.replace(SPACE, " "))
-        head = self.library.encode("\n")
-        return _packed(ids[len(head) :])
+        """The library's ids of a run that starts with a blank: it puts one before
+        each text, which is taken for the run's own."""
+        return _packed(self.library.encode(text[1:].replace(SPACE, " "))) if len(text) > 1 else _packed([self.blank])
 
     def list_of(self, run: Run, n: int) -> list[tuple[float, bytes]]:
         """(cost beyond the best, ids) of a run's best ``n`` paths."""
@@ -247,6 +269,9 @@ class Encoder(dict):
                 found = [(paths[0][0] - s, _packed(ids)) for s, ids in paths]
             else:
                 found = self.combined(run.parts, n)
+            for _, ids in found:
+                if self.plain(ids) != run.text.replace(SPACE, " "):
+                    raise ValueError(f"a path of {run.text!r} does not decode to it")
             if len(run.text) <= 48:
                 if len(self.lists) > 50_000:
                     self.lists.clear()
@@ -277,7 +302,9 @@ class Encoder(dict):
         if not text:
             return []
         if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
-            return list(map(self.__getitem__, text.split(" ")))
+            words = text.split(" ")
+            self.prepare(words)
+            return list(map(self.__getitem__, words))
         escaped = SPACE + text.replace(" ", SPACE)
         return [self[r[1:]] for r in re.findall(f"{SPACE}+[^{SPACE}]*", escaped)]
 
@@ -291,8 +318,11 @@ class Encoder(dict):
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; the blank that encoding put before it comes off."""
-        data = b"".join(map(self.vocabulary.data.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
-        return data.decode(errors="replace").removeprefix(" ")
+        return self.plain(ids).removeprefix(" ")
+
+    def plain(self, ids: bytes) -> str:
+        numbers = struct.unpack(f"<{len(ids) // 4}I", ids)
+        return b"".join(map(self.vocabulary.data.__getitem__, numbers)).decode(errors="replace")
 
 
 _kept: dict[str, Encoder] = {}
@@ -343,7 +373,9 @@ def summarise(df: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text
 
     ``scores``, ``n_ids`` and ``ids_crc32`` are arrays over the best paths;
     ``merged_n_ids`` and ``merged_crc32`` are those of the library's ids;
-    ``decoded`` tells whether every path and the library's ids decode to the text.
+    ``decoded`` tells whether the best path and the library's ids decode to the
+    text. Other paths differ from the best in single runs, and a run's paths are
+    all decoded when they are found.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +392,7 @@ def summarise(df: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text
                         [zlib.crc32(i) for _, i in paths],
                         len(merged) // 4,
                         zlib.crc32(merged),
-                        all(encoder.decode(i) == text for i in {merged, *(i for _, i in paths)}),
+                        all(encoder.decode(i) == text for i in {merged, paths[0][1]}),
                     )
                 )
             types = [pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
