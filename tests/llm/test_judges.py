@@ -83,6 +83,25 @@ def test_hard_rows(spark, hard):
     assert pii.pseudonymise(hard).count() == 6 and labels.count() == 2
 
 
+def test_every_language_has_a_reference(spark):
+    def text(lang, seed, n=150):
+        rng = np.random.default_rng(seed)
+        return " ".join(f"{lang}{'aeiou'[k % 5]}{'bcdfg'[k // 5]}" for k in np.r_[:25, rng.integers(0, 25, n - 25)])
+
+    langs = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(80)]
+    # the last ones are the smallest
+    rows = [(100 * i + k, text(x, 100 * i + k), x) for i, x in enumerate(langs) for k in range(4 if i < 64 else 2)]
+    # no word is common: 4000 different ones
+    rows += [(9000 + k, " ".join(f"{400 * k + j:x}qq" for j in range(400)), "none") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for parts in (1, 5):
+        dealt = docs.coalesce(1) if parts == 1 else docs.repartition(parts, "doc_id")
+        refs = quality_rules.references(dealt, "text", "lang")
+        assert sorted(refs) == langs
+        assert {r["doc_id"] for r in quality_rules.judge(dealt).filter("kept").collect()} == {r[0] for r in rows}
+        assert quality_rules.keep_good(dealt).count() == len(rows)
+
+
 def held_out_auc(spark, query, label):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = query(spark, SF).join(labels, "doc_id").filter("held_out").select("score", "predicted", label).collect()

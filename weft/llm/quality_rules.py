@@ -10,7 +10,11 @@ compared from ``min_chars`` on and words from ``min_words`` on.
 References take two scans. The first counts character classes exactly and finds
 the words with a share of at least 1/2000 in some task; any word with that share
 in the corpus has it in a task. The second counts these candidates exactly. Both
-send a bounded number of rows from each task and are summed by Spark.
+send a bounded number of rows for each language from each task and are summed by
+Spark. Every language counts, however many there are: references hold at most 48
+words and 8 class counts each, and are broadcast; a document's comparison grows with
+their number. A language in which no word has that share (say, one written without
+blanks) has no reference, and divergence doesn't reject its documents.
 
 Defined cases: null texts have no words and fail the base rules; a null language
 counts as the language ''; repeated rows are judged one by one and count each
@@ -37,8 +41,6 @@ CLASSES = ("vowel", "consonant", "upper", "digit", "blank", "mark", "symbol", "b
 #: Common words of a reference, without the rest.
 COMMON = 48
 CANDIDATES = 256
-#: Languages with a reference: the largest by words.
-LANGUAGES = 64
 SHARE = 2000
 KEPT_WORDS = 300_000
 
@@ -77,8 +79,8 @@ def bare(words: list[bytes]) -> list[bytes]:
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence of counts ``p`` from each row of ``q``."""
-    p = p / max(p.sum(), 1)
+    """Jensen-Shannon divergence of counts ``p``, one row or as many as ``q``'s, from each row of ``q``."""
+    p = p / np.maximum(p.sum(-1, keepdims=True), 1)
     q = q / np.maximum(q.sum(-1, keepdims=True), 1)
     m = (p + q) / 2
 
@@ -125,7 +127,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(df: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: counts of character classes, common words' places, their counts (the last: all others)."""
+    """By language: counts of character classes, common words' places, their counts (the last: all others).
+
+    Languages without a common word aren't there.
+    """
     source = df.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -133,10 +138,8 @@ def references(df: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[n
     first = in_workers(source, _candidates, _ROWS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     is_class = F.substring("key", 1, 1) == F.lit(b"\0")
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang", is_class).orderBy(F.desc("n"), "key")))
-    # at most CANDIDATES + 8 rows of a language come to the driver, and LANGUAGES languages
-    size = first.filter(is_class).groupBy("lang").agg(F.sum("n").alias("chars"))
-    largest = size.orderBy(F.desc("chars"), "lang").limit(LANGUAGES)
-    rows = ranked.filter(F.col("r") <= CANDIDATES).join(F.broadcast(largest), "lang").collect()
+    # at most CANDIDATES + 8 rows of a language come to the driver
+    rows = ranked.filter(F.col("r") <= CANDIDATES).collect()
     classes: dict = defaultdict(lambda: np.zeros(len(CLASSES) - 1, np.int64))
     candidates: dict = defaultdict(set)
     for r in rows:
@@ -165,7 +168,10 @@ def references(df: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[n
     out = {}
     for lang, found in counts.items():
         all_words = found.pop(b"", 0)
-        best = sorted(found, key=lambda w: (-found[w], w))[:COMMON]
+        # what is common in a task only isn't common
+        best = sorted((w for w, n in found.items() if SHARE * n >= all_words), key=lambda w: (-found[w], w))[:COMMON]
+        if not best:
+            continue
         n = np.array([found[w] for w in best] + [all_words - sum(found[w] for w in best)])
         out[lang] = (classes[lang], {w: i for i, w in enumerate(best)}, n)
     return out
@@ -205,9 +211,11 @@ def judge(
 
     ``far_words`` widens by ``noise * (words in the histogram) / n_words``, about
     what chance adds to the divergence of so few draws. With ``rows``, the kept
-    rows of ``df`` come back instead of verdicts.
+    rows of ``df`` come back instead of verdicts. A document whose language has
+    no reference is never rejected for its divergence.
     """
     at = df.columns.index(text_col) if rows else 1
+    own_lang = F.coalesce(df[lang_col].cast("string"), F.lit(""))
     found = references(df, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(found)
 
@@ -215,9 +223,17 @@ def judge(
         refs = shared.value
         langs = sorted(refs)
         classes = np.array([refs[x][0] for x in langs], float).reshape(-1, len(CLASSES) - 1)
+        # a row for each language: its common words' counts, and all others' in the last column
+        common = np.zeros((len(langs), COMMON + 1))
+        places: dict = defaultdict(list)
+        for i, x in enumerate(langs):
+            _, place, counts = refs[x]
+            common[i, : len(place)], common[i, -1] = counts[:-1], counts[-1]
+            for w, k in place.items():
+                places[w].append(i * (COMMON + 1) + k)
         for batch in sliced(batches):
             out: list = [[] for _ in range(10)]
-            for text in batch.column(at).to_pylist():
+            for text, lang in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 text = text or ""
                 data = text.encode()
                 words = data.split()
@@ -228,18 +244,15 @@ def judge(
                 if langs:
                     plain = Counter(bare(words))
                     chars = divergence(class_counts(data), classes)
-                    each = []
-                    for x in langs:
-                        _, place, counts = refs[x]
-                        own = np.zeros(len(counts))
-                        for w, i in place.items():
-                            own[i] = plain.get(w, 0)
-                        own[-1] = n - own.sum()
-                        each.append(divergence(own, counts[None, :])[0])
-                    k = int(np.argmin(np.array(each) + chars))
+                    own = np.zeros(common.shape)
+                    for w in plain.keys() & places.keys():
+                        own.flat[places[w]] = plain[w]
+                    own[:, -1] = n - own.sum(-1)
+                    each = divergence(own, common)
+                    k = int(np.argmin(each + chars))
                     near, by_words, by_chars = langs[k], float(each[k]), float(chars[k])
                 kept = not failed
-                if kept and langs:
+                if kept and lang in refs:
                     if n >= min_words and by_words > far_words + noise * COMMON / n / 8:
                         kept = False
                     if base[0] >= min_chars and by_chars > far_chars:
@@ -247,7 +260,8 @@ def judge(
                 for column, v in zip(out, (n, *base, failed, kept, by_words, by_chars, near), strict=True):
                     column.append(v)
             if rows:
-                yield batch.filter(pa.array(out[6], pa.bool_()))
+                kept_rows = batch.filter(pa.array(out[6], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept_rows.columns[:-1], schema=pa.schema(list(kept_rows.schema)[:-1]))
                 continue
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -256,10 +270,10 @@ def judge(
 
     if rows:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return in_workers(df, score, kinds)
+        return in_workers(df.select("*", own_lang.alias("_lang")), score, kinds)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = ", ".join(f"{n} {t}" for n, t in zip(_NAMES, [id_type, *_TYPES], strict=True))
-    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"), own_lang.alias("lang"))
     return in_workers(source, score, schema).withColumnRenamed("id", id_col)
 
 
