@@ -51,6 +51,15 @@ def test_keep_one(hard):
     assert exact_dedup.keep_one(hard.limit(0)).count() == 0
 
 
+def test_keep_one_with_repeated_ids(spark):
+    texts = [(1, "a b"), (1, "ab"), (2, "x"), (2, "x"), (2, " x"), (3, "c d"), (3, "c d"), (3, "cd"), (4, "e"), (4, "f"), (None, "g"), (None, "g ")]
+    docs = spark.createDataFrame(texts + [(1, None), (1, " ")], "doc_id long, text string")
+    kept = [tuple(r) for r in exact_dedup.keep_one(docs).collect()]
+    assert sorted(kept, key=repr) == sorted(
+        [(1, "a b"), (2, " x"), (3, "c d"), (4, "e"), (4, "f"), (None, "g "), (1, " ")], key=repr
+    )
+
+
 def test_exact_dedup_equals_sql(spark, data):
     con = connect(data)
     for name in registry.SQL:

@@ -44,6 +44,7 @@ def exact_dedup(
     prefix: int = 64,
     filter_bits: int = 23,
     digest: bool = False,
+    points: bool = False,
 ) -> DataFrame:
     """One row per document: which equal text stays.
 
@@ -51,7 +52,8 @@ def exact_dedup(
     ``text_sha256``. Of equal texts the row with the most code points in the
     original text stays, then the smallest id. ``text_sha256`` is null for
     texts that the first two levels already showed to be single, unless
-    ``digest`` asks for it on every row.
+    ``digest`` asks for it on every row. With ``points``, ``_points`` has the
+    code points of each document's text.
     """
     # the marker columns have names of their own, so columns of df can't clash
     rows = df.select(
@@ -88,6 +90,7 @@ def exact_dedup(
         F.min(order).alias("_best"), F.sum("_copies").alias("_size")
     )
     best = F.col("_best")
+    length = [F.col("_points")] if points else []
     grouped = documents.join(groups, "_sha").select(
         F.col("_id").alias(id_col),
         best.getField("_id").alias("keep_id"),
@@ -95,6 +98,7 @@ def exact_dedup(
         (order == best).alias("kept"),
         F.col("_copies").alias("n_copies"),
         F.col("_sha").alias("text_sha256"),
+        *length,
     )
     single = hashed.filter(~F.col("_open")).select(
         F.col("_id").alias(id_col),
@@ -103,6 +107,7 @@ def exact_dedup(
         F.lit(True).alias("kept"),
         F.lit(1).cast("long").alias("n_copies"),
         F.col("_sha").alias("text_sha256"),
+        *length,
     )
     return grouped.unionByName(single)
 
@@ -113,27 +118,24 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     The columns are those of ``df``. A row that repeats id and text is kept once.
     """
     marks = (
-        exact_dedup(df, id_col, text_col, digest=True)
+        exact_dedup(df, id_col, text_col, digest=True, points=True)
         .filter("kept")
-        .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_copies").alias("_copies"))
+        .select(
+            F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("_points"), F.col("n_copies").alias("_copies")
+        )
     )
-    hashed = df.select("*", F.sha2(normalised(text_col), 256).alias("_sha_own"))
-    same = hashed[id_col].eqNullSafe(marks["_id"]) & (hashed["_sha_own"] == marks["_sha"])
-    once = hashed.join(marks.filter("_copies = 1"), same, "left_semi")
-    again = hashed.join(marks.filter("_copies > 1"), same, "left_semi")
-    columns = df.columns
-    repeated = again.withColumn("_points", F.char_length(text_or_empty(text_col)))
-    longest = repeated.groupBy(F.col(id_col).alias("_i"), F.col("_sha_own").alias("_s")).agg(
-        F.max("_points").alias("_p")
+    hashed = df.select(
+        "*", F.sha2(normalised(text_col), 256).alias("_sha_own"), F.char_length(text_or_empty(text_col)).alias("_points_own")
+    )
+    # one id may have equal texts that differ in blanks; the length tells which of them is kept
+    same = (
+        hashed[id_col].eqNullSafe(marks["_id"])
+        & (hashed["_sha_own"] == marks["_sha"])
+        & (hashed["_points_own"] == marks["_points"])
     )
-    repeated = repeated.join(
-        longest,
-        repeated[id_col].eqNullSafe(longest["_i"])
-        & (repeated["_sha_own"] == longest["_s"])
-        & (repeated["_points"] == longest["_p"]),
-        "left_semi",
-    ).dropDuplicates([id_col, "_sha_own"])
-    return once.select(*columns).unionByName(repeated.select(*columns))
+    once = hashed.join(marks.filter("_copies = 1"), same, "left_semi")
+    again = hashed.join(marks.filter("_copies > 1"), same, "left_semi").dropDuplicates([id_col, "_sha_own"])
+    return once.select(*df.columns).unionByName(again.select(*df.columns))
 
 
 def op10_exact_dedup(spark, sf_dir):
