@@ -102,6 +102,17 @@ def test_every_language_has_a_reference(spark):
         assert quality_rules.keep_good(dealt).count() == len(rows)
 
 
+def test_secret_background_is_of_the_whole_table(spark, monkeypatch):
+    rows = [(i, f"first {i}") for i in range(1000)] + [(1000 + i, f"later {i}") for i in range(1000)]
+    seen, make = [], secret_scan.training_windows
+    monkeypatch.setattr(secret_scan, "training_windows", lambda texts: make((seen.append(texts), texts[:3])[1]))
+    secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(seen[0]) == 300 and 75 < sum(t.startswith("later") for t in seen[0]) < 225
+    long = spark.createDataFrame([(1, "word " * 5000 + "end")], "doc_id long, text string")
+    secret_scan.scan_secrets(long)
+    assert seen[1][0].endswith("end")
+
+
 def held_out_auc(spark, query, label):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = query(spark, SF).join(labels, "doc_id").filter("held_out").select("score", "predicted", label).collect()

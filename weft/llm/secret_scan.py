@@ -409,8 +409,14 @@ def train(windows: list, epochs: int = 4, rate: float = 0.2, l2: float = 1e-4, s
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 300) -> DataFrame:
-    """Per row: the id, n_assign, n_access, n_hex, base_sha256, spans and n_model."""
-    sample = [r[0] or "" for r in df.select(F.substring(df[text_col].cast("string"), 1, 20_000)).head(sample_rows)]
+    """Per row: the id, n_assign, n_access, n_hex, base_sha256, spans and n_model.
+
+    The model's background is cut anywhere from the whole texts of ``sample_rows``
+    rows, those of the whole table with the least hashes of id and text.
+    """
+    body = df[text_col].cast("string")
+    least = df.orderBy(F.xxhash64(df[id_col], body)).limit(sample_rows)
+    sample = [r[0] or "" for r in least.select(body).collect()]
     shared = df.sparkSession.sparkContext.broadcast(train(training_windows(sample)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
