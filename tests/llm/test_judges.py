@@ -113,6 +113,18 @@ def test_secret_background_is_of_the_whole_table(spark, monkeypatch):
     assert seen[1][0].endswith("end")
 
 
+@pytest.mark.parametrize("module, query", [(compression_quality, "op2_compression_quality"), (toxicity, "op9_factorization_toxicity")])
+def test_training_texts_are_whole(spark, tmp_path, monkeypatch, module, query):
+    texts = {i: f"{i} " + "word " * 5000 + "end" for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, i % 2) for i in texts]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    learnt = []
+    monkeypatch.setattr(module, "fit", lambda found, y, share: learnt.extend(found))
+    getattr(module, query)(spark, str(tmp_path))
+    assert learnt and set(learnt) <= set(texts.values())
+
+
 def held_out_auc(spark, query, label):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = query(spark, SF).join(labels, "doc_id").filter("held_out").select("score", "predicted", label).collect()

@@ -132,6 +132,6 @@ def score_quality(df: DataFrame, model: Model | None, id_col: str, text_col: str
 
 def op2_compression_quality(spark, sf_dir, most: int = 2000):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(*training_rows(docs, labels, "quality", 4, 2, most, 8192))
+    model = fit(*training_rows(docs, labels, "quality", 4, 2, most))
     scored = score_quality(docs, model, "doc_id", "text")
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

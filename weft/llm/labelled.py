@@ -21,16 +21,14 @@ def training_rows(
     modulus: int,
     held_out: int,
     most: int,
-    most_bytes: int,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[list[str], np.ndarray, float]:
     """Texts, labels, and the share of label 1 among all labelled rows.
 
     At most ``most`` labelled texts of each class, outside the held-out remainder.
-    Rows are taken by a hash of the id, so the sample is the same every time. Of
-    longer texts the first ``most_bytes`` characters are learnt from; scoring
-    reads whole texts. Ids with contradicting labels are left out.
+    Rows are taken by a hash of the id, so the sample is the same every time; their
+    texts are whole. Ids with contradicting labels are left out.
     """
     clean = (
         labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
@@ -45,7 +43,7 @@ def training_rows(
     chosen = [clean.filter(F.col("_y") == y).orderBy(order, "_id").limit(most) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]).select("_id", "_y"))
     rows = (
-        docs.select(docs[id_col].alias("_i"), F.substring(docs[text_col].cast("string"), 1, most_bytes).alias("_t"))
+        docs.select(docs[id_col].alias("_i"), docs[text_col].cast("string").alias("_t"))
         .join(ids, F.col("_i") == F.col("_id"))
         .select("_i", "_y", "_t")
         .collect()

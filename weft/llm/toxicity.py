@@ -175,6 +175,6 @@ def score_toxicity(df: DataFrame, model: Model | None, id_col: str, text_col: st
 
 def op9_factorization_toxicity(spark, sf_dir, most: int = 2000):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit(*training_rows(docs, labels, "toxic", 3, 1, most, 16384))
+    model = fit(*training_rows(docs, labels, "toxic", 3, 1, most))
     scored = score_toxicity(docs, model, "doc_id", "text")
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
