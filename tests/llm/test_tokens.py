@@ -1,6 +1,5 @@
 """Pieces, counts and packing against the libraries themselves."""
 
-import itertools
 import random
 import zlib
 
@@ -128,13 +127,21 @@ def test_plan_equals_best_fit_one_by_one(lengths):
 
 
 def test_n_best_equals_all_paths(encoder):
+    vocabulary = encoder.vocabulary
+
     def every(run):
-        ends = encoder.vocabulary.edges(run)
+        def steps(b):
+            for a in range(b):
+                if run[a:b] in vocabulary.score:
+                    i, s = vocabulary.score[run[a:b]]
+                    yield a, (i,), s
+                elif a == b - 1:
+                    yield a, tuple(vocabulary.bytes[x] for x in run[a].encode()), vocabulary.unknown
 
         def paths(b):
             if b == 0:
                 yield 0.0, ()
-            for a, ids, s in ends[b]:
+            for a, ids, s in steps(b):
                 for q, i in paths(a):
                     yield q + s, i + ids
 
@@ -149,6 +156,34 @@ def test_n_best_equals_all_paths(encoder):
         assert set(found) <= allowed and len(set(found)) == len(found)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(any_text.filter(lambda t: t and " " not in t and pieces.SPACE not in t), min_size=1, max_size=12))
+def test_runs_together_equal_runs_alone(words):
+    sp = _made.setdefault("runs", pieces.Encoder(public_tokenizers.path("piece_bpe_32k.model")))
+    runs = sorted((pieces.SPACE + w for w in words), key=len, reverse=True)
+    score, cost, n, ids = sp.vocabulary.best_of_many(runs)
+    at = np.r_[0, np.cumsum(n)]
+    for i, run in enumerate(runs):
+        assert (score[i], cost[i], ids[at[i] : at[i + 1]].tolist()) == sp.vocabulary.best(run)
+
+
+def test_long_unbroken_text_is_linear(encoder):
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdeéß") for _ in range(300_000))
+    for text in (letters, "y" * 300_000):
+        paths, merged, decodes = next(encoder.encode_many([text], 4))
+        assert decodes and len(paths) == 4
+        assert all(encoder.decode(ids) == text for _, ids in paths)
+
+
+def test_pieces_of_an_empty_table_and_repeated_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([(1, "a b", 1.5), (1, "a b", 1.5), (None, None, 2.5), (None, "", None)], "doc_id long, text string, paths double")
+    assert pieces.summarise(rows.limit(0), path).count() == pieces.encode_n_best(rows.limit(0), path).count() == 0
+    got = [(r["doc_id"], [len(p["ids"]) for p in r["paths"]]) for r in pieces.encode_n_best(rows, path, 2).collect()]
+    assert sorted(got, key=str) == sorted([(1, [2, 3]), (1, [2, 3]), (None, [0]), (None, [0])], key=str)
+
+
 def test_pieces_round_trip(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = pieces.encode_n_best(docs, path, 2)
@@ -169,4 +204,3 @@ def test_caches_may_be_tiny(monkeypatch, encoder):
     text = " ".join(rng.choice(["some", "words.", "that", "repeat,", "here"]) for _ in range(60))
     assert small.encode(text, 3) == encoder.encode(text, 3)
     assert lengths.of(text.encode()) == len(lengths.tokenizer.encode(text, add_special_tokens=False).ids)
-    assert itertools

@@ -9,6 +9,9 @@ either side together: every path passes there. So each distinct run is searched
 once and cached, and a text's N best paths are put together from its runs' lists.
 Only the N - 1 runs whose second choice costs least can differ from their best.
 
+New runs of a batch take the forward pass together: columns of a NumPy table are
+the places, rows the runs, and a trie in arrays is walked by all runs at once.
+
 Characters outside the vocabulary become byte pieces, as in the library. Besides
 the lattice's paths, ``merged`` ids are those that the library itself gives: for
 a model of merges they may differ from the path with the best score.
@@ -26,7 +29,9 @@ import struct
 import sys
 import zlib
 from array import array
+from bisect import insort
 from collections.abc import Iterator
+from itertools import chain, zip_longest
 from pathlib import Path
 
 import numpy as np
@@ -38,8 +43,12 @@ from weft.llm.common import in_workers, sliced, table
 SPACE = "▁"
 #: What an unknown character costs beyond the rarest piece.
 UNKNOWN_COST = 10.0
-#: Runs that a worker's cache may hold; the older half goes when it is full.
+#: Runs that a worker's cache may hold; it is emptied when full.
 CACHE_RUNS = 400_000
+#: Runs up to this length take the forward pass together, so many at once.
+SHORT, TOGETHER = 48, 8192
+#: Characters of a text that are cut into runs at once.
+SLICE = 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -83,38 +92,25 @@ class Vocabulary:
         # some models mark pieces with a score far below all ranks; they aren't a measure of rarity
         self.unknown = min((s for _, s in self.score.values() if s > -1e8), default=0.0) - UNKNOWN_COST
         self.longest = max(map(len, self.score), default=1)
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         # one table to walk: a piece's id and score, or None for what only begins pieces
-        self.walk = {p: self.score.get(p) for p in self.starts}
+        self.walk = {p[:k]: self.score.get(p[:k]) for p in self.score for k in range(1, len(p) + 1)}
         self.together = {(p[k], p[k + 1]) for p in self.score for k in range(len(p) - 1)}
         self.data = [
             bytes([int(t[1:-1], 16)]) if k == self.BYTE else t.replace(SPACE, " ").encode() if k in (1, 4) else b""
             for t, k in zip(self.text, kinds, strict=True)
         ]
+        self._trie: Trie | None = None
 
-    def edges(self, run: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """By end: (start, ids, score) of each piece in ``run``."""
-        ends: list = [[] for _ in range(len(run) + 1)]
-        for a in range(len(run)):
-            known = False
-            for b in range(a + 1, min(len(run), a + self.longest) + 1):
-                part = run[a:b]
-                if part not in self.starts:
-                    break
-                if part in self.score:
-                    i, s = self.score[part]
-                    ends[b].append((a, (i,), s))
-                    known |= b == a + 1
-            if not known:
-                ids = tuple(self.bytes[x] for x in run[a].encode()) if self.bytes else (0,)
-                ends[a + 1].append((a, ids, self.unknown))
-        return ends
+    def trie(self) -> Trie:
+        if self._trie is None:
+            self._trie = Trie(self.score)
+        return self._trie
 
-    def best(self, run: str) -> tuple[float, tuple[int, ...], float]:
-        """Score and ids of the best path, and what the second best costs more.
+    def forward(self, run: str) -> tuple[list[float], list[float], list]:
+        """By place: the two best scores of any way there, and the best one's last step.
 
-        Forward Viterbi with the two best scores of each place: the second best
-        way there is one of the two best ways to some place before, and an edge.
+        The second best way to a place is one of the two best ways to some place
+        before, and an edge. A step is (start, id), of unknown characters (start, -1).
         """
         n, walk, longest = len(run), self.walk.get, self.longest
         low = float("-inf")
@@ -152,43 +148,213 @@ class Vocabulary:
                     second[b] = s
                 if two + self.unknown > second[b]:
                     second[b] = two + self.unknown
-        ids, at = [], n
+        return first, second, back
+
+    def spelt(self, c: str) -> tuple[int, ...]:
+        """The ids of a character without a piece: its bytes."""
+        return tuple(self.bytes[x] for x in c.encode()) if self.bytes else (0,)
+
+    def best(self, run: str) -> tuple[float, float, list[int]]:
+        """Score of the best path, what the second best costs more, and the best's ids."""
+        first, second, back = self.forward(run)
+        ids, at = [], len(run)
         while at:
             a, i = back[at]
-            if i >= 0:
-                ids.append(i)
-            else:
-                ids += [self.bytes[x] for x in reversed(run[a].encode())] if self.bytes else [0]
+            ids += [i] if i >= 0 else reversed(self.spelt(run[a]))
             at = a
         ids.reverse()
-        return first[n], tuple(ids), first[n] - second[n]
+        return first[-1], first[-1] - second[-1], ids
+
+    def best_of_many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of short runs, longest first: scores, costs, numbers of ids, all ids."""
+        trie = self.trie()
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        count, wide = len(runs), int(sizes[0])
+        # a column for each character, so that what one step touches lies together
+        codes = np.zeros((count, wide), np.int32)
+        codes[np.arange(wide) < sizes[:, None]] = codes_of("".join(runs))
+        codes = np.ascontiguousarray(codes.T)
+        classes = trie.class_of[codes]
+        first = np.full((wide + 1, count), -np.inf)
+        second = np.full((wide + 1, count), -np.inf)
+        start, step = np.zeros((wide + 1, count), np.int32), np.zeros((wide + 1, count), np.int32)
+        first[0] = 0.0
+        every = np.arange(count)
+        # runs that have a character at each place: the first so many
+        longer = np.searchsorted(-sizes, -np.arange(wide + 1), "left")
+        for a in range(wide):
+            rows = every[: longer[a]]
+            node = trie.roots[classes[a, : longer[a]]]
+            if len(r := np.flatnonzero(node == 0)):  # characters without a piece, as the negatives of their codes
+                s, b = first[a, r] + self.unknown, a + 1
+                better = s > first[b, r]
+                runner = np.maximum(np.where(better, first[b, r], s), second[a, r] + self.unknown)
+                second[b, r] = np.maximum(second[b, r], runner)
+                r = r[better]
+                first[b, r], start[b, r], step[b, r] = s[better], a, -2 - codes[a, r]
+                rows = np.flatnonzero(node)
+                node = node[rows]
+            for b in range(a + 1, min(wide, a + self.longest) + 1):
+                piece = trie.piece[node]
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    r, i = rows[hit], piece[hit]
+                    gain = trie.score[i]
+                    s, had = first[a, r] + gain, first[b, r]
+                    better = s > had
+                    runner = np.maximum(np.where(better, had, s), second[a, r] + gain)
+                    second[b, r] = np.maximum(second[b, r], runner)
+                    r = r[better]
+                    first[b, r], start[b, r], step[b, r] = s[better], a, i[better]
+                if b == wide:
+                    break
+                on = np.searchsorted(rows, longer[b])
+                rows, node = rows[:on], node[:on]
+                node = trie.next(node, classes[b, rows])
+                alive = np.flatnonzero(node)
+                if not len(alive):
+                    break
+                rows, node = rows[alive], node[alive]
+        # back from the ends, all runs at once; ids are filled from the right
+        found = np.full((count, wide), -1, np.int32)
+        rows, at, k = every, sizes, wide
+        while len(rows):
+            k -= 1
+            found[rows, k] = step[at, rows]
+            at = start[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        n, ids = (found != -1).sum(1), found[found != -1]
+        if (found < -1).any():
+            places = np.flatnonzero(ids < -1)
+            spelt = {int(c): self.spelt(chr(-2 - c)) for c in np.unique(ids[places])}
+            times = np.ones(len(ids), np.int64)
+            times[places] = [len(spelt[c]) for c in ids[places].tolist()]
+            n = n + np.bincount(np.nonzero(found < -1)[0], times[places] - 1, count).astype(np.int64)
+            wide_ids = np.repeat(ids, times)
+            starts = np.cumsum(times) - times
+            for c, x in spelt.items():
+                at = starts[places[ids[places] == c]]
+                for k, i in enumerate(x):
+                    wide_ids[at + k] = i
+            ids = wide_ids
+        best = first[sizes, every]
+        return best, best - second[sizes, every], n, ids
 
     def n_best(self, run: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """(score, ids) of the best ``n`` paths, best first; ties by fewer and then smaller ids."""
-        ends = self.edges(run)
-        best = [0.0] + [float("-inf")] * len(run)
-        for b in range(1, len(run) + 1):
-            best[b] = max((best[a] + s for a, _, s in ends[b]), default=float("-inf"))
-        # the heuristic is exact, so the first n paths that come to the start are the best
-        agenda = [(-best[-1], len(run), (), 0.0)]
-        found = []
+        """(score, ids) of the best ``n`` paths, best first; ties by fewer and then smaller ids.
+
+        An entry of the agenda has the score of a whole path, and different entries
+        stand for different paths. So what is worse than ``n`` others needn't be kept.
+        """
+        best = self.forward(run)[0]
+        scores, longest = self.score.get, self.longest
+        agenda = [(-best[-1], len(run), Suffix((), None), 0.0)]
+        limits = [-best[-1]]
+        found: list = []
         while agenda and len(found) < n:
-            _, at, ids, suffix = heapq.heappop(agenda)
+            total, at, suffix, tail = heapq.heappop(agenda)
             if at == 0:
-                found.append((suffix, ids))
+                found.append((tail, suffix.all()))
                 continue
-            for a, piece, s in ends[at]:
-                heapq.heappush(agenda, (-(best[a] + s + suffix), a, piece + ids, s + suffix))
+            steps = [(a, (hit[0],), hit[1]) for a in range(max(0, at - longest), at) if (hit := scores(run[a:at]))]
+            if not (steps and steps[-1][0] == at - 1):
+                steps.append((at - 1, self.spelt(run[at - 1]), self.unknown))
+            inherited = False
+            for a, ids, s in steps:
+                cost = -(best[a] + s + tail)
+                if not inherited and cost == total:
+                    inherited = True
+                elif len(limits) < n or cost <= limits[-1]:
+                    insort(limits, cost)
+                    del limits[n:]
+                else:
+                    continue
+                heapq.heappush(agenda, (cost, a, Suffix(ids, suffix), s + tail))
         return found
 
 
-class Run:
-    """A run's best path, what its second costs more, and what the library gives."""
+class Suffix:
+    """The last ids of a path, as a chain; compared from the front."""
+
+    __slots__ = ("ids", "rest")
+
+    def __init__(self, ids: tuple[int, ...], rest: Suffix | None):
+        self.ids, self.rest = ids, rest
+
+    def steps(self) -> Iterator[tuple[int, ...]]:
+        x: Suffix | None = self
+        while x is not None:
+            yield x.ids
+            x = x.rest
+
+    def all(self) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(self.steps()))
+
+    def __lt__(self, other: Suffix) -> bool:
+        pairs = zip_longest(chain.from_iterable(self.steps()), chain.from_iterable(other.steps()), fillvalue=-1)
+        return next((x < y for x, y in pairs if x != y), False)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
 
-    __slots__ = ("cost", "data", "merged", "n", "parts", "score", "text")
+class Trie:
+    """Pieces in arrays: a node's child for a class of characters is at the node's base plus the class.
 
-    def __init__(self, text: str, parts: list[Run] | None, score: float, cost: float, data: bytes, merged: bytes):
-        self.text, self.parts, self.score, self.cost, self.data, self.merged = text, parts, score, cost, data, merged
+    Nodes are places of the arrays; 0 is none. ``class_of`` has 0 for characters that
+    aren't pieces themselves.
+    """
+
+    def __init__(self, score: dict[str, tuple[int, float]]):
+        letters = sorted(p for p in score if len(p) == 1)
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[codes_of("".join(letters))] = np.arange(1, len(letters) + 1)
+        number = {c: i for i, c in enumerate(letters, 1)}
+        children: dict[str, set[str]] = {}
+        for p in score:
+            if all(c in number for c in p):
+                for k in range(1, len(p) + 1):
+                    children.setdefault(p[: k - 1], set()).add(p[k - 1])
+        room = 4 * sum(map(len, children.values())) + 2 * len(letters) + 64
+        self.base, self.owner = np.zeros(room, np.int32), np.full(room, -1, np.int32)
+        self.piece = np.full(room, -1, np.int32)
+        self.score = np.zeros(1 + max((i for i, _ in score.values()), default=0))
+        for i, s in score.values():
+            self.score[i] = s
+        self.roots = np.zeros(len(letters) + 1, np.int32)
+        taken = bytearray(room)
+        taken[0] = 1
+        free = 1
+        level = [("", 0)]
+        while level:
+            below = []
+            for text, node in level:
+                if text not in children:
+                    continue
+                inside = sorted(number[c] for c in children[text])
+                while taken[free]:
+                    free += 1
+                at = max(free, inside[0])
+                while taken[at] or any(taken[at - inside[0] + c] for c in inside[1:]):
+                    at += 1
+                base = at - inside[0]
+                self.base[node] = base
+                for c in inside:
+                    taken[base + c] = 1
+                    self.owner[base + c] = node
+                    part = text + letters[c - 1]
+                    if part in score:
+                        self.piece[base + c] = score[part][0]
+                    if not text:
+                        self.roots[c] = base + c
+                    below.append((part, base + c))
+            level = below
+
+    def next(self, node: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The children, 0 where there is none."""
+        child = self.base[node] + classes
+        return np.where(self.owner[child] == node, child, 0)
 
 
 def _packed(ids) -> bytes:
@@ -199,8 +365,29 @@ def _packed(ids) -> bytes:
     return packed.tobytes()
 
 
-class Encoder(dict):
-    """Runs by their text without the blank before; encodes and decodes texts."""
+class Pool:
+    """Lists of ids end to end; grows."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 16, "<u4"), 0
+
+    def add(self, ids: np.ndarray) -> int:
+        """Where ``ids`` are from now on."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), "<u4")])
+        self.ids[at : self.used] = ids
+        return at
+
+    def gather(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The lists at ``at`` with ``n`` ids each, one after another."""
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(at - ends + n, n) + np.arange(total)]
+
+
+class Encoder:
+    """Encodes and decodes texts; keeps the runs it has seen, by their text without the blank before."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -208,113 +395,210 @@ class Encoder(dict):
         self.vocabulary = Vocabulary(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.blank = self.library.piece_to_id(SPACE)
+        self.begins = np.array([t.startswith(SPACE) for t in self.vocabulary.text])
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the caches anew. Numbers of runs lose their meaning."""
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.best, self.merged = Pool(), Pool()
+        #: By run: best score, what the second choice costs more, place and number
+        #: of the best path's ids, the same of the library's, whether both decode to it.
+        self.facts = np.empty(
+            1 << 12,
+            [("score", "f8"), ("cost", "f8"), ("at", "i8"), ("n", "i4"), ("merged_at", "i8"), ("merged_n", "i4"), ("decodes", "?")],
+        )
+        self.parts: dict[str, tuple[float, bytes]] = {}
         self.lists: dict = {}
 
-    def __missing__(self, word: str) -> Run:
-        return self.kept(word, self.merged(SPACE + word))
-
-    def kept(self, word: str, merged: bytes) -> Run:
-        run = self.built(SPACE + word, merged)
-        if len(word) <= 48:
-            if len(self) >= CACHE_RUNS:
-                for key in list(self)[: CACHE_RUNS // 2]:
-                    del self[key]
-                self.lists.clear()
-            self[word] = run
-        return run
-
-    def built(self, text: str, merged: bytes) -> Run:
-        """A run; where it can be cut, from its parts, of which the first may be cached.
-
-        The library's ids are the same at once and part by part: it can't merge
-        over a cut either.
-        """
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The runs' numbers; those that are new are encoded first."""
+        try:
+            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self.learn([w for w in dict.fromkeys(words) if w not in self.number])
+            return self.numbers(words)
+
+    def learn(self, new: list[str]) -> None:
+        plain, other = [], []
+        for w in new:
+            (plain if 0 < len(w) < SHORT and SPACE not in w else other).append(w)
+        plain.sort(key=len, reverse=True)
+        for at in range(0, len(plain), TOGETHER):
+            self.learn_plain(plain[at : at + TOGETHER])
+        for w in other:
+            merged = np.array(self.library.encode(w.replace(SPACE, " ")), "<u4") if w else np.array([self.blank], "<u4")
+            score, cost, data = self.part(SPACE + w)
+            self.keep([w], [score], [cost], np.frombuffer(data, "<u4"), [len(data) // 4], merged, [len(merged)])
+
+    def learn_plain(self, words: list[str]) -> None:
+        score, cost, n, ids = self.vocabulary.best_of_many([SPACE + w for w in words])
+        # no piece reaches over a blank into the next word, so the library may have them all at once
+        merged = np.array(self.library.encode(" ".join(words)), "<u4")
+        starts = np.flatnonzero(self.begins[merged])
+        if len(starts) == len(words):
+            merged_n = np.diff(np.r_[starts, len(merged)])
+        else:
+            each = self.library.encode(words, num_threads=1)
+            merged_n = np.fromiter(map(len, each), np.int64, len(each))
+            merged = np.fromiter(chain.from_iterable(each), "<u4", int(merged_n.sum()))
+        self.keep(words, score, cost, ids, n, merged, merged_n)
+
+    def keep(self, words: list[str], score, cost, ids, n, merged, merged_n) -> None:
+        a = len(self.texts)
+        if a + len(words) > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.empty(max(len(self.facts), len(words)), self.facts.dtype)])
+        self.texts += [SPACE + w for w in words]
+        self.number.update(zip(words, range(a, a + len(words)), strict=True))
+        f = self.facts[a : a + len(words)]
+        f["score"], f["cost"], f["n"], f["merged_n"] = score, cost, n, merged_n
+        f["at"] = self.best.add(ids) + np.r_[0, np.cumsum(n)[:-1]]
+        f["merged_at"] = self.merged.add(merged) + np.r_[0, np.cumsum(merged_n)[:-1]]
+        f["decodes"] = self.all_decode(words, ids, n) and self.all_decode(words, merged, merged_n)
+        if not f["decodes"].all():
+            for i, w in enumerate(words):
+                both = [p.gather(f[at][i : i + 1], f[size][i : i + 1]) for p, at, size in ((self.best, "at", "n"), (self.merged, "merged_at", "merged_n"))]
+                f["decodes"][i] = all(self.bytes_of(x) == (" " + w).encode() for x in both)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.data.__getitem__, ids.tolist()))
+
+    def all_decode(self, words: list[str], ids: np.ndarray, n) -> bool:
+        """Whether each run's ids decode to it: all do together, and each begins with its blank, which it has once."""
+        n, text = np.asarray(n), " " + " ".join(words)
+        starts = np.cumsum(n) - n
+        begins = self.begins[ids]
+        return (
+            bool(n.all() and begins[starts].all() and begins.sum() == len(words))
+            and text.count(" ") == len(words)
+            and SPACE not in text
+            and self.bytes_of(ids) == text.encode()
+        )
+
+    def part(self, text: str) -> tuple[float, float, bytes]:
+        """(score, cost of the second choice, ids) of any run; cut where it can be."""
+        if len(parts := self.cut(text)) > 1:
+            found = [self.part(p) for p in parts]
+            return sum(x[0] for x in found), min(x[1] for x in found), b"".join([x[2] for x in found])
+        hit = self.parts.get(text)
+        if hit is None:
+            score, cost, ids = self.vocabulary.best(text)
+            hit = score, cost, _packed(ids)
+            if len(text) <= SHORT:
+                if len(self.parts) > CACHE_RUNS // 4:
+                    self.parts.clear()
+                self.parts[text] = hit
+        return hit
+
+    def cut(self, text: str) -> list[str]:
+        """The text's parts: no piece reaches over their ends."""
+        if text[1:].isalpha() and len(text) <= SHORT:  # words of letters are rarely cut, and needn't be
+            return [text]
         together = self.vocabulary.together
-        # words of letters alone are rarely cut, and needn't be
-        cuts = [] if text[1:].isalpha() else [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in together]
-        if cuts:
-            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-            runs = [self[p[1:]] if p[0] == SPACE else self.part(p) for p in parts]
-            return Run(text, runs, sum([r.score for r in runs]), min([r.cost for r in runs]), b"".join([r.data for r in runs]), merged)
-        score, ids, cost = self.vocabulary.best(text)
-        return Run(text, None, score, cost, _packed(ids), merged)
-
-    def prepare(self, words: list[str]) -> None:
-        """The words that aren't cached, encoded by the library in one call."""
-        new = [w for w in dict.fromkeys(words) if w not in self and w]
-        if len(new) > 1:
-            for w, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
-                self.kept(w, _packed(ids))
-
-    def part(self, text: str) -> Run:
-        key = "\0" + text
-        run = self.get(key)
-        if run is None:
-            run = self.built(text, b"")  # of a part, only the lattice's paths are asked for
-            if len(text) <= 48:
-                self[key] = run
-        return run
-
-    def merged(self, text: str) -> bytes:
-        """The library's ids of a run that starts with a blank: it puts one before
-        each text, which is taken for the run's own."""
-        return _packed(self.library.encode(text[1:].replace(SPACE, " "))) if len(text) > 1 else _packed([self.blank])
-
-    def list_of(self, run: Run, n: int) -> list[tuple[float, bytes]]:
+        cuts = [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in together]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+    def list_of(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """(cost beyond the best, ids) of a run's best ``n`` paths."""
-        found = self.lists.get((run.text, n))
+        found = self.lists.get((text, n))
         if found is None:
-            if run.parts is None:
-                paths = self.vocabulary.n_best(run.text, n)
-                found = [(paths[0][0] - s, _packed(ids)) for s, ids in paths]
+            if len(parts := self.cut(text)) > 1:
+                each = [self.part(p) for p in parts]
+                costs = np.array([x[1] for x in each])
+                size = np.array([len(x[2]) for x in each])
+                found = self.combined(b"".join([x[2] for x in each]), costs, size, parts.__getitem__, n)
             else:
-                found = self.combined(run.parts, n)
+                paths = self.vocabulary.n_best(text, n)
+                found = [(paths[0][0] - s, _packed(ids)) for s, ids in paths]
             for _, ids in found:
-                if self.plain(ids) != run.text.replace(SPACE, " "):
-                    raise ValueError(f"a path of {run.text!r} does not decode to it")
-            if len(run.text) <= 48:
+                if self.plain(ids) != text.replace(SPACE, " "):
+                    raise ValueError(f"a path of {text!r} does not decode to it")
+            if len(text) <= SHORT:
                 if len(self.lists) > 50_000:
                     self.lists.clear()
-                self.lists[run.text, n] = found
+                self.lists[text, n] = found
         return found
 
-    def combined(self, runs: list[Run], n: int) -> list[tuple[float, bytes]]:
-        """The best ``n`` ways through ``runs``, as (cost beyond the best, ids)."""
-        costs = np.fromiter((r.cost for r in runs), float, len(runs))
+    def combined(self, best: bytes, costs: np.ndarray, size: np.ndarray, text_of, n: int) -> list[tuple[float, bytes]]:
+        """The best ``n`` ways through runs, as (cost beyond the best, ids).
+
+        ``best`` has the ids of the runs' best ways; ``costs``, ``size`` in bytes and
+        ``text_of`` are by run.
+        """
         order = np.argsort(costs, kind="stable")[: n - 1]
-        order = sorted(int(i) for i in order if np.isfinite(costs[i]))
+        order = np.sort(order[np.isfinite(costs[order])])
+        ends = np.cumsum(size)
+        places = [(int(ends[i] - size[i]), int(ends[i])) for i in order]
         ways: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in order:
-            choices = self.list_of(runs[i], n)
+        lists = [self.list_of(text_of(i), n) for i in order]
+        for choices in lists:
             ways = heapq.nsmallest(
                 n, ((c + d, (*picks, k)) for c, picks in ways for k, (d, _) in enumerate(choices)), key=lambda w: w
             )
-        data = [r.data for r in runs]
         out = []
         for cost, picks in ways:
-            mine = list(data)
-            for i, k in zip(order, picks, strict=True):
-                mine[i] = self.list_of(runs[i], n)[k][1]
-            out.append((cost, b"".join(mine)))
+            mine, at = [], 0
+            for (a, b), choices, k in zip(places, lists, picks, strict=True):
+                if k:
+                    mine += [best[at:a], choices[k][1]]
+                    at = b
+            out.append((cost, b"".join([*mine, best[at:]])))
         return out
 
-    def runs_of(self, text: str) -> list[Run]:
-        if not text:
-            return []
+    def words_of(self, text: str) -> list[str]:
+        """A text's runs without the blank before each."""
         if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
-            words = text.split(" ")
-            self.prepare(words)
-            return list(map(self.__getitem__, words))
+            return text.split(" ")
         escaped = SPACE + text.replace(" ", SPACE)
-        return [self[r[1:]] for r in re.findall(f"{SPACE}+[^{SPACE}]*", escaped)]
+        return [r[1:] for r in re.findall(f"{SPACE}+[^{SPACE}]*", escaped)]
+
+    def runs_of(self, text: str) -> np.ndarray:
+        """Numbers of a text's runs. A long text is taken in slices; they end before a blank after another character."""
+        found, at = [], 0
+        ends = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
+        while True:
+            end = m.start() if len(text) - at > SLICE and (m := ends.search(text, at + SLICE)) else len(text)
+            if at < end:
+                found.append(self.numbers(self.words_of(text[at:end])))
+            if end == len(text):
+                return np.concatenate(found)
+            at = end + 1
+
+    def encode_many(self, texts: list[str], n: int) -> Iterator[tuple[list[tuple[float, bytes]], bytes, bool]]:
+        """Per text: (score, ids) of the best ``n`` paths, the library's ids, and whether its
+        and the best path's decode to the text. New runs of short texts are learnt together."""
+        at = 0
+        while at < len(texts):
+            group = [texts[at]]
+            size = len(texts[at])
+            while at + len(group) < len(texts) and (size := size + len(texts[at + len(group)])) <= SLICE:
+                group.append(texts[at + len(group)])
+            at += len(group)
+            if len(self.number) >= CACHE_RUNS:
+                self.forget()
+            if len(group) == 1:
+                runs = [self.runs_of(t) if t else None for t in group]
+            else:
+                words = [self.words_of(t) if t else [] for t in group]
+                every = self.numbers(list(chain.from_iterable(words)))
+                runs = np.split(every, np.cumsum(list(map(len, words)))[:-1])
+            for text, numbers in zip(group, runs, strict=True):
+                yield self.put_together(text, numbers, n) if text else ([(0.0, b"")], b"", True)
 
     def encode(self, text: str, n: int) -> tuple[list[tuple[float, bytes]], bytes]:
         """(score, ids) of the best ``n`` paths, and the library's ids."""
-        runs = self.runs_of(text)
-        if not runs:
-            return [(0.0, b"")], b""
-        best = sum(r.score for r in runs)
-        return [(best - c, ids) for c, ids in self.combined(runs, n)], b"".join(r.merged for r in runs)
+        return next(self.encode_many([text], n))[:2]
+
+    def put_together(self, text: str, runs: np.ndarray, n: int) -> tuple[list[tuple[float, bytes]], bytes, bool]:
+        f = self.facts[runs]
+        best = self.best.gather(f["at"], f["n"].astype(np.int64)).tobytes()
+        merged = self.merged.gather(f["merged_at"], f["merged_n"].astype(np.int64)).tobytes()
+        score = float(f["score"].sum())
+        ways = self.combined(best, f["cost"], f["n"].astype(np.int64) * 4, lambda i: self.texts[runs[i]], n)
+        # runs that decode to themselves do so together
+        decodes = bool(f["decodes"].all()) or all(self.decode(x) == text for x in (best, merged))
+        return [(score - c, ids) for c, ids in ways], merged, decodes
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; the blank that encoding put before it comes off."""
@@ -341,9 +625,10 @@ def encode_n_best(df: DataFrame, path: str, n: int = 4, id_col: str = "doc_id",
         encoder = _encoder(path)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for batch in sliced(batches, 128):
-            found = [encoder.encode(t or "", n) for t in batch.column(1).to_pylist()]
-            paths = [[{"score": s, "ids": np.frombuffer(i, "<i4").tolist()} for s, i in p] for p, _ in found]
-            merged = [np.frombuffer(m, "<i4") for _, m in found]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = list(encoder.encode_many(texts, n))
+            paths = [[{"score": s, "ids": np.frombuffer(i, "<i4").tolist()} for s, i in p] for p, *_ in found]
+            merged = [np.frombuffer(m, "<i4") for _, m, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(paths, kind), pa.array(merged, pa.list_(pa.int32()))], ["id", "paths", "merged"]
             )
@@ -382,9 +667,8 @@ def summarise(df: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text
         encoder = _encoder(path)
         for batch in sliced(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                paths, merged = encoder.encode(text, n)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for paths, merged, decodes in encoder.encode_many(texts, n):
                 rows.append(
                     (
                         [s for s, _ in paths],
@@ -392,7 +676,7 @@ def summarise(df: DataFrame, path: str, n: int = 4, id_col: str = "doc_id", text
                         [zlib.crc32(i) for _, i in paths],
                         len(merged) // 4,
                         zlib.crc32(merged),
-                        all(encoder.decode(i) == text for i in {merged, paths[0][1]}),
+                        decodes,
                     )
                 )
             types = [pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
