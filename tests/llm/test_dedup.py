@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("weft.llm")
 from oracle import connect, differences  # noqa: E402
-from weft.llm import components, exact_dedup, near_dedup, registry  # noqa: E402
+from weft.llm import common, components, exact_dedup, near_dedup, registry  # noqa: E402
 from weft.llm.sketches import SetSketch, WordHashes, shingle_set  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _id int"
@@ -34,16 +35,34 @@ def hard(spark):
 
 @pytest.mark.parametrize("digest", [True, False])
 def test_exact_dedup_on_hard_rows(hard, digest):
-    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(hard, digest=digest).collect()}
-    assert len(got) == 9
+    rows = exact_dedup.exact_dedup(hard, digest=digest).collect()
+    assert len(rows) == len(HARD) and sorted(r["kept"] for r in rows if r["doc_id"] == 7) == [False, True]
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] != 7 or r["kept"]}
     assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in got.items()} == {
         1: (1, 4, True), 2: (1, 4, False), 8: (1, 4, False), None: (1, 4, False), 3: (3, 1, True),
         6: (6, 3, True), 4: (6, 3, False), 5: (6, 3, False), 7: (7, 2, True),
     }
-    assert got[7]["n_copies"] == 2
     assert (got[3]["text_sha256"] is None) == (not digest)
 
 
+def test_exact_dedup_of_repeated_rows_equals_sql(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (1, "ab"), (2, "a b"), (3, None), (3, " "), (4, "x"), (4, "x"), (5, "yz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(exact_dedup.op10_exact_dedup(spark, str(tmp_path)), con, exact_dedup.OP10_SQL) == ""
+
+
+def test_keep_one_passes_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_points", "points", "_sha", "sha", "maybe", "_id", "_copies", "_open"]
+    rows = [(i % 3, "same" if i < 6 else f"t{i}", *(f"v{i}" for _ in names[2:])) for i in range(9)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == names
+    got = sorted(tuple(r) for r in kept.collect())
+    assert len(got) == 4 and set(got) <= set(rows) and {r[1] for r in got} == {"same", "t6", "t7", "t8"}
+
+
 def test_keep_one(hard):
     kept = exact_dedup.keep_one(hard)
     assert kept.columns == hard.columns
@@ -117,14 +136,41 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_near_duplicates_equal_brute_force(spark, near_rows, monkeypatch, block):
+@pytest.mark.parametrize("block, heavy", [(2048, 500), (5, 3)])
+def test_near_duplicates_equal_brute_force(spark, near_rows, monkeypatch, block, heavy):
     monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", block)  # 5: buckets and clusters in pairs of blocks
+    monkeypatch.setattr(common.Spread, "HEAVY", heavy)  # 3: keys in parts
     df = spark.createDataFrame(near_rows, "doc_id long, text string").withColumn("root", F.lit("clash"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
     assert got == brute(near_rows)
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (9, c), (9, "alone here"), (8, "not like any")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [
+        (1, 1, True), (5, 1, False), (5, 1, False), (6, 1, False), (7, 7, True), (8, 8, True), (9, 7, False), (9, 7, False),
+    ]
+
+
+def test_blocks_meet_but_for_a_component_s_own(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 4)
+    comp = {c: 1 if c < 20 else 2 if c < 30 else c for c in range(45)}
+    rows = spark.createDataFrame([(7, k, c, 5) for c, k in comp.items()], "key long, comp long, c long, n long")
+    dealt = near_dedup.in_blocks(rows).collect()
+    met, most = set(), Counter()
+    for r in dealt:
+        most[r["key"]] += 1
+        for s in dealt:
+            if r["key"] == s["key"] and r["comp"] != s["comp"] and (r["side"] == -1 or r["side"] != s["side"]):
+                met.add((r["c"], s["c"]))
+    assert met == {(x, y) for x in comp for y in comp if comp[x] != comp[y]}
+    copies = Counter(r["c"] for r in dealt)
+    assert max(copies[c] for c in range(20)) <= 8  # blocks of others, not its own five
+    assert max(most.values()) < 30
+
+
 def test_near_duplicates_on_hard_rows(hard):
     got = near_dedup.near_duplicates(hard).collect()
     assert len(got) == len(HARD)
@@ -151,4 +197,4 @@ def test_sketches_merge_and_estimate():
         true = len(both) / (2 * n - len(both))
         got = sketch.similarity(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([n]), np.array([n]))[0]
         assert abs(got - true) < 0.15
-    assert len(shingle_set("a b c d e f", WordHashes())) == 2 and duckdb
+    assert len(shingle_set("a b c d e f", WordHashes())) == 2

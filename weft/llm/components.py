@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import Spread, cut, discard
 
 
 def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: Column) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with ``m`` of their ``u``, and a row for each ``u``. The edges of a hub are dealt to several tasks."""
+    by_node = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", least)
+    return Spread(by_node, ["u"], "degree").join(edges, by_node.select("u", "m"), "v"), by_node
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has columns a and b; returns (node, root), root the least node.
 
     Alternating large-star and small-star steps: each needs a minimum by node,
     summed before the shuffle, and one join. Every round is written to the
-    shared folder. Nodes without an edge are not returned.
+    shared folder, and takes the place of the one before. Nodes without an edge
+    are not returned.
     """
     e = cut(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -26,11 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = _checksum(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large, _ = _with_least(both, F.least("u", "m"))
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small, least = _with_least(large, F.col("m"))
+        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, e = e, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         now = _checksum(e)
         if now == before:
             break

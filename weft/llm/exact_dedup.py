@@ -1,25 +1,21 @@
 """Exact deduplication by progressive refinement, in built-in expressions only.
 
 Texts are equal when they are identical after every character of
-``[\\x20\\x09-\\x0D]`` is deleted. Three levels, each reading less than the one
-before:
+``[\\x20\\x09-\\x0D]`` is deleted. Three levels, each for what the one before left:
 
-1. group by normalised length,
-2. within a length, by a hash of the normalised prefix: one scan gives both
-   keys, and the counts are summed before they are shuffled;
-3. within prefixes seen twice, by a hash of the full text, from a second scan
-   (or from the first, if the caller wants every row's digest anyway).
+1. group by normalised length: a length that only one row has is settled;
+2. group by a hash of the normalised prefix within the lengths that are left;
+3. group by a hash of the full text within the prefixes that are left. Full
+   texts are hashed in a second scan, of surviving rows only; where the caller
+   wants every row's digest, the first scan gives it.
 
-To the second scan the surviving keys travel as a bitmap of ``2**filter_bits`` bits
-(1 MB as a rule, whatever the input), so no text is shuffled and no key set is
-broadcast. The bitmap only saves work: a key that shares another's bit is
-settled at level 3, where the full hash decides.
+To the scans that need them, surviving keys travel as bitmaps of a bounded size,
+so no text is shuffled and no key set is broadcast. A bitmap only saves work: a
+key that shares another's bit is settled at level 3, where the full hash decides.
 
 Defined cases: null texts count as empty; empty texts are equal to each other
-and to texts of blanks; a null id sorts after all others; rows with the same id
-and an equal text of the same length are one document (reported once,
-``n_copies`` tells how often, all counted in ``group_size``); one id with
-different texts gives one row for each text; other columns are not read.
+and to texts of blanks; a null id sorts after all others; each row counts, so of
+rows with the same id and the same text one stays; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import BLANKS, bitmap_of, cut, table, text_or_empty
+from weft.llm.common import BLANKS, bitmap_of, cut, free_name, table, text_or_empty
 
 
 def normalised(text_col: str) -> Column:
@@ -37,25 +33,9 @@ def normalised(text_col: str) -> Column:
     return reduce(lambda c, b: F.replace(c, F.lit(b), F.lit("")), BLANKS, text_or_empty(text_col))
 
 
-def exact_dedup(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    prefix: int = 64,
-    filter_bits: int = 23,
-    digest: bool = False,
-    points: bool = False,
-) -> DataFrame:
-    """One row per document: which equal text stays.
-
-    Columns: the id, ``keep_id``, ``group_size``, ``kept``, ``n_copies`` and
-    ``text_sha256``. Of equal texts the row with the most code points in the
-    original text stays, then the smallest id. ``text_sha256`` is null for
-    texts that the first two levels already showed to be single, unless
-    ``digest`` asks for it on every row. With ``points``, ``_points`` has the
-    code points of each document's text.
-    """
-    # the marker columns have names of their own, so columns of df can't clash
+def _hashed(df: DataFrame, id_col: str, text_col: str, prefix: int, digest: bool) -> DataFrame:
+    """Per row: ``_id``, ``_points``, ``_open`` (an equal text may exist) and ``_sha`` of open rows, or of all."""
+    # the columns have names of their own, so others of df can't clash
     rows = df.select(
         F.col(id_col).alias("_id"),
         F.char_length(text_or_empty(text_col)).alias("_points"),
@@ -73,75 +53,91 @@ def exact_dedup(
         keyed.select("_id", "_points", "_len", "_head", *([sha.alias("_sha")] if digest else [])),
         "exact-facts",
     )
-    # levels 1 and 2: counts by length and prefix; a length seen once ends here,
-    # and so does a prefix seen once within its length
-    by_head = facts.groupBy("_len", "_head").count().filter("count > 1")
-    survives = bitmap_of(by_head, ["_len", "_head"], filter_bits)
+    # level 1: lengths; level 2: prefixes within the lengths that are left
+    by_length = cut(facts.groupBy("_len").count().filter("count > 1"), "exact-lengths")
+    long_enough = facts.filter(bitmap_of(by_length, ["_len"]))
+    by_head = cut(long_enough.groupBy("_len", "_head").count().filter("count > 1"), "exact-heads")
+    survives = bitmap_of(by_head, ["_len", "_head"])
     if digest:
-        hashed = facts.withColumn("_open", survives)
-    else:
-        full = keyed.withColumn("_open", survives).withColumn("_sha", F.when(F.col("_open"), sha))
-        hashed = cut(full.select("_id", "_points", "_open", "_sha"), "exact-hashes")
+        return facts.select("_id", "_points", survives.alias("_open"), "_sha")
+    full = keyed.withColumn("_open", survives).withColumn("_sha", F.when(F.col("_open"), sha))
+    return cut(full.select("_id", "_points", "_open", "_sha"), "exact-hashes")
+
+
+def _order() -> Column:
+    """The least of a group stays."""
+    return F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id"))
 
-    # level 3: rows, then groups; both sums are taken before the shuffle as well
+
+def _groups(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level 3: documents, with ``_copies`` rows each, and groups; both summed before the shuffle as well."""
     documents = hashed.filter("_open").groupBy("_sha", "_id", "_points").agg(F.count("*").alias("_copies"))
-    order = F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id"))
-    groups = documents.groupBy("_sha").agg(
-        F.min(order).alias("_best"), F.sum("_copies").alias("_size")
-    )
+    groups = documents.groupBy("_sha").agg(F.min(_order()).alias("_best"), F.sum("_copies").alias("_size"))
+    return documents, groups
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, digest: bool = False) -> DataFrame:
+    """One row per row of ``df``: which equal text stays.
+
+    Columns: the id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+    Of equal texts the row with the most code points in the original text
+    stays, then the smallest id. ``text_sha256`` is null for texts that the first
+    two levels already showed to be single, unless ``digest`` asks for it on
+    every row.
+    """
+    hashed = _hashed(df, id_col, text_col, prefix, digest)
+    documents, groups = _groups(hashed)
     best = F.col("_best")
-    length = [F.col("_points")] if points else []
-    grouped = documents.join(groups, "_sha").select(
-        F.col("_id").alias(id_col),
-        best.getField("_id").alias("keep_id"),
-        F.col("_size").alias("group_size"),
-        (order == best).alias("kept"),
-        F.col("_copies").alias("n_copies"),
-        F.col("_sha").alias("text_sha256"),
-        *length,
-    )
+    found = documents.join(groups, "_sha").withColumn("_stays", _order() == best)
+
+    def out(rows: DataFrame, kept: Column) -> DataFrame:
+        return rows.select(
+            F.col("_id").alias(id_col),
+            best.getField("_id").alias("keep_id"),
+            F.col("_size").alias("group_size"),
+            kept.alias("kept"),
+            F.col("_sha").alias("text_sha256"),
+        )
+
+    # one row for each document, then those that repeat it
+    repeats = found.filter("_copies > 1").withColumn("_copy", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_copies"))))
     single = hashed.filter(~F.col("_open")).select(
         F.col("_id").alias(id_col),
         F.col("_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
-        F.lit(1).cast("long").alias("n_copies"),
         F.col("_sha").alias("text_sha256"),
-        *length,
     )
-    return grouped.unionByName(single)
+    return out(found, F.col("_stays")).unionByName(out(repeats, F.lit(False))).unionByName(single)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
     """The rows of ``df`` that stay: one of each group of equal texts.
 
-    The columns are those of ``df``. A row that repeats id and text is kept once.
+    The columns are those of ``df``. What goes is looked up: rows that can't be
+    among it, by id and length, pass without being hashed or shuffled.
     """
+    documents, groups = _groups(_hashed(df, id_col, text_col, prefix, False))
     marks = (
-        exact_dedup(df, id_col, text_col, digest=True, points=True)
-        .filter("kept")
-        .select(
-            F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("_points"), F.col("n_copies").alias("_copies")
-        )
-    )
-    hashed = df.select(
-        "*", F.sha2(normalised(text_col), 256).alias("_sha_own"), F.char_length(text_or_empty(text_col)).alias("_points_own")
+        documents.join(groups, "_sha")
+        .select("_sha", "_id", "_points", (_order() == F.col("_best")).alias("_stays"), "_copies")
+        .filter("NOT _stays OR _copies > 1")
     )
-    # one id may have equal texts that differ in blanks; the length tells which of them is kept
-    same = (
-        hashed[id_col].eqNullSafe(marks["_id"])
-        & (hashed["_sha_own"] == marks["_sha"])
-        & (hashed["_points_own"] == marks["_points"])
-    )
-    once = hashed.join(marks.filter("_copies = 1"), same, "left_semi")
-    again = hashed.join(marks.filter("_copies > 1"), same, "left_semi").dropDuplicates([id_col, "_sha_own"])
-    return once.select(*df.columns).unionByName(again.select(*df.columns))
+    marks = cut(marks, "exact-marks")
+    points, maybe, sha = (free_name(df, n) for n in ("points", "maybe", "sha"))
+    key = df.select("*", F.char_length(text_or_empty(text_col)).alias(points))
+    found = bitmap_of(marks.select(F.col("_id").alias(id_col), F.col("_points").alias(points)), [id_col, points])
+    rows = key.withColumn(maybe, found)
+    asked = rows.filter(F.col(maybe)).withColumn(sha, F.sha2(normalised(text_col), 256))
+    same = asked[id_col].eqNullSafe(marks["_id"]) & (asked[points] == marks["_points"]) & (asked[sha] == marks["_sha"])
+    rest = asked.join(marks.filter("NOT _stays OR _copies > 1"), same, "left_anti")
+    # of rows that repeat one that stays, one stays
+    again = asked.join(marks.filter("_stays"), same, "left_semi").dropDuplicates([id_col, sha])
+    return rows.filter(~F.col(maybe)).select(*df.columns).unionByName(rest.select(*df.columns)).unionByName(again.select(*df.columns))
 
 
 def op10_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents"), digest=True).select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
-    )
+    return exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
 #: DuckDB SQL for the rows of ``op10_exact_dedup``.
@@ -154,7 +150,7 @@ WITH n AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       row_number() OVER w = 1 AS kept,
        text_sha256
 FROM n
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
