@@ -118,15 +118,15 @@ def bitmap_of(groups: DataFrame, keys: list[str]) -> Column:
     has more work then, and the same results.
     """
     filter_bits = max(12, min(MOST_BITS, (BITS_A_KEY * groups.count()).bit_length()))
-    words = (
-        groups.select(_bit([F.col(k) for k in keys], filter_bits).alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+    words = groups.select(_bit([F.col(k) for k in keys], filter_bits).alias("bit")).select(
+        F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("bits")
     )
-    every = groups.sparkSession.range(1 << (filter_bits - 6)).withColumnRenamed("id", "word")
+    every = groups.sparkSession.range(1 << (filter_bits - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
     dense = (
-        every.join(words, "word", "left")
-        .agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+        every.unionByName(words)
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
         .select(F.col("w.bits").alias("bitmap"))
     )
     bit = _bit([F.col(k) for k in keys], filter_bits)
@@ -153,10 +153,12 @@ class Spread:
     """
 
     #: Rows of a key that one task may have, and into how many parts a key is dealt at most.
-    HEAVY, PARTS = 500, 256
+    HEAVY, PARTS = 128, 256
 
-    def __init__(self, sizes: DataFrame, keys: list[str], size: str):
-        top = sizes.agg(F.max(size)).first()[0] or 0
+    def __init__(self, sizes: DataFrame, keys: list[str], size: str, top: int | None = None):
+        """``top`` is the largest size, where it is known."""
+        if top is None:
+            top = sizes.agg(F.max(size)).first()[0] or 0
         self.keys, self.parts = keys, min(self.PARTS, -(-top // self.HEAVY))
         self.hot = bitmap_of(sizes.filter(F.col(size) > self.HEAVY), keys) if self.parts > 1 else None
 

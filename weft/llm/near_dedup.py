@@ -48,7 +48,7 @@ LEAST = 85
 #: Estimates below are given up: five standard errors below the threshold.
 LEAST_ESTIMATE = 0.71
 #: Classes, and shingles, that a block of a bucket or cluster has about.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1_000_000
 
 _hashes = WordHashes()
 
@@ -283,14 +283,19 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     )
     # a group of one component has nothing to compare
     groups = cut(groups.filter("comps > 1"), "groups")
+    top, most = groups.agg(F.max("size"), F.max(F.col("shared") + F.col("owned"))).first()
+    if top is None:
+        return rows.select("key", F.lit(-1).alias("side"), "c", "comp").limit(0)
     rows = rows.filter(bitmap_of(groups, ["key"]))
-    rows = Spread(groups, ["key"], "size").join(rows, groups.select("key", "shared", "owned"), "c")
+    rows = Spread(groups, ["key"], "size", top).join(rows, groups.select("key", "shared", "owned"), "c")
     plain = rows.filter("shared + owned = 1").select("key", F.lit(-1).alias("side"), "c", "comp")
+    if most == 1:
+        return plain
     # the blocks that a large component has for itself come after the shared ones
     large = by_comp.filter("own > 1")
     before = Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
     large = cut(large.select("key", "comp", "own", "size", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before")), "large")
-    big = Spread(large, ["key", "comp"], "size").join(rows.filter("shared + owned > 1"), large.drop("size"), "c", "left")
+    big = Spread(large, ["key", "comp"], "size", top).join(rows.filter("shared + owned > 1"), large.drop("size"), "c", "left")
     first = F.col("shared") + F.col("before")
     block = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("comp"), "shared")).otherwise(first + F.pmod(F.xxhash64("c"), "own"))
     every = F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("owned") - 1)
