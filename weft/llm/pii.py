@@ -10,14 +10,21 @@ others, and the text keeps its form:
 * phone numbers: the digits after the country code, grouping kept.
 * IPv4 addresses: the 32 bits, leading networks of private use among themselves.
 * IBANs: the account's letters and digits, each within its class, with new check digits.
-* social security numbers: the nine digits.
+* social security numbers: the valid ones among themselves (area 001 to 899 but
+  666, group 01 to 99, serial 0001 to 9999), and so those of areas 900 to 999
+  with groups 50 to 99, which taxpayers have; others aren't such numbers and stay.
 * dates: days from 1900-01-01 to 2099-12-31, in the format found.
-* e-mail addresses: letters and digits of the local part, each within its
-  class, and the domain's name likewise, but for reserved example domains.
+* e-mail addresses: letters, digits and accents of the local part, each within its
+  class, and the domain's name likewise, but for reserved example domains. A class
+  is a script's letters of one case, or what comes near it: those of one category
+  in one 128th of the code points' pages. All of a part is permuted together, in
+  chunks where it is long, each of which depends on all others.
 
 Permutations over domains that aren't powers of two walk the cycle until they
-are back inside, which keeps them one to one. The key is a parameter; the
-default is for tests.
+are back inside, which keeps them one to one. Operators need a key. The query and
+the pipeline take the session's ``weft.pii.secret``; where that is unset, one is
+drawn at random for the session, so pseudonyms are linked within it only and
+nothing that is published leads back.
 
 Defined cases: null texts stay null, empty ones empty; equal rows stay equal;
 other columns pass through untouched, whatever their names.
@@ -28,19 +35,23 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 from datetime import date, timedelta
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.common import in_workers, sliced, table
 
-DEFAULT_KEY = b"weft test key: set your own"
+KEY_SETTING = "weft.pii.secret"
 ROUNDS = 8
+#: Characters of an address that are permuted together.
+CHUNK = 48
 
-#: Letters and digits that are permuted among themselves; others stay.
+#: Letters and digits that are permuted among themselves.
 CLASSES = (
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
@@ -48,9 +59,34 @@ CLASSES = (
     "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ",
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
+_PLAIN = {c: k for k in CLASSES for c in k}
+
+
+@cache
+def class_of(c: str) -> str:
+    """The characters that ``c`` may become; itself alone where it is no letter, mark or digit."""
+    if c in _PLAIN:
+        return _PLAIN[c]
+    kind = unicodedata.category(c)
+    if kind[0] not in "LMN":
+        return c
+    return _page(ord(c) >> 7, kind) if len(_page(ord(c) >> 7, kind)) > 1 else _lone(kind)
+
+
+@cache
+def _page(page: int, kind: str) -> str:
+    found = map(chr, range(page << 7, (page + 1) << 7))
+    return "".join(c for c in found if unicodedata.category(c) == kind and c not in _PLAIN)
+
+
+@cache
+def _lone(kind: str) -> str:
+    """Characters that are the only ones of their category in their page."""
+    return "".join(p for page in range(0x110000 >> 7) if len(p := _page(page, kind)) == 1)
+
 
 # Fixed patterns, by kind; the first kind that matches a place and validates takes it.
-EMAIL = r"(?P<email>(?<![\w.+-])\w[\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+EMAIL = r"(?P<email>(?<![\w\u0300-\u036f.+-])\w[\w\u0300-\u036f.+-]*@[\w\u0300-\u036f-]+(?:\.[\w\u0300-\u036f-]+)+)"
 IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))"
 IP = r"(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
 DATE = r"(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/]|[.-]\d))"
@@ -71,8 +107,11 @@ class Feistel:
         self.key = key
 
     def _round(self, what: bytes, n: int, i: int, right: int, bits: int) -> int:
-        data = b"%s|%d|%d|%d" % (what, n, i, right)
-        return int.from_bytes(hmac.digest(self.key, data, "sha256")[:16], "big") & ((1 << bits) - 1)
+        size = (bits + 7) // 8
+        data = b"%s|%d|%d|" % (what, n.bit_length(), i) + right.to_bytes(size, "big") + n.to_bytes((n.bit_length() + 7) // 8, "big")
+        # as many blocks as the half is wide, so that all its bits are mixed
+        blocks = [hmac.digest(self.key, b"%d|" % k + data, "sha256") for k in range(-(-size // 32))]
+        return int.from_bytes(b"".join(blocks)[:size], "big") & ((1 << bits) - 1)
 
     def permuted(self, value: int, n: int, what: bytes, back: bool = False) -> int:
         """``value`` in the permutation of 0..n-1 that is named ``what``; or its original."""
@@ -128,8 +167,19 @@ class Pseudonyms:
         rest = form[len(head) :]
         return head + into(rest, self.digits(re.sub(r"\D", "", rest), b"phone"))
 
-    def ssn(self, form: str) -> str:
-        return into(form, self.digits(re.sub(r"\D", "", form), b"ssn"))
+    def ssn(self, form: str) -> str | None:
+        area, group, serial = map(int, form.split("-"))
+        if area >= 900 and group >= 50:
+            value = self.feistel.permuted(((area - 900) * 50 + group - 50) * 10_000 + serial, 100 * 50 * 10_000, b"itin")
+            area, group, serial = 900 + value // 500_000, 50 + value // 10_000 % 50, value % 10_000
+        elif 0 < area < 900 and area != 666 and group and serial:
+            place = area - 1 - (area > 666)
+            value = self.feistel.permuted((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, b"ssn")
+            place, group, serial = value // (99 * 9999), value // 9999 % 99 + 1, value % 9999 + 1
+            area = place + 1 + (place >= 665)
+        else:
+            return None
+        return f"{area:03d}-{group:02d}-{serial:04d}"
 
     def ip(self, form: str) -> str | None:
         parts = [int(x) for x in form.split(".")]
@@ -169,8 +219,24 @@ class Pseudonyms:
         return None
 
     def letters(self, s: str, what: bytes) -> str:
-        """Letters and digits permuted together, each within its class; the rest stays."""
-        classes = [next((k for k in CLASSES if c in k), c) for c in s]
+        """All characters permuted together, each within its class.
+
+        Long ones in chunks, there and back again: each chunk's permutation is
+        named after all that is before it, and then after all that is behind.
+        """
+        if len(s) <= CHUNK:
+            return self._letters(s, what)
+        chunks = [s[i : i + CHUNK] for i in range(0, len(s), CHUNK)]
+        for way in (b"there", b"back"):
+            seen = hashlib.sha256(what + way)
+            for i, chunk in enumerate(chunks):
+                chunks[i] = self._letters(chunk, what + way + b"%d" % i + seen.digest())
+                seen.update(chunks[i].encode())
+            chunks.reverse()
+        return "".join(chunks)
+
+    def _letters(self, s: str, what: bytes) -> str:
+        classes = list(map(class_of, s))
         n, value = 1, 0
         for c, k in zip(s, classes, strict=True):
             n *= len(k)
@@ -222,7 +288,14 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), count
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key; drawn at random where none is set."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
+def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``df`` with pseudonyms in ``text_col``; optionally, their number in a new column.
 
     The columns and their order stay. A clashing ``count_col`` raises ValueError.
@@ -248,4 +321,4 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY
 
 def op3_pii_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, count_col="n_pseudonyms")
+    return pseudonymise(docs, session_key(spark), count_col="n_pseudonyms")
