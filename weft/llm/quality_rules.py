@@ -1,20 +1,24 @@
-"""Quality rules: base counts and divergence from language references.
+"""Quality rules: base counts and distance from language references.
 
 A document's character classes and common words are compared, by
-Jensen-Shannon divergence (base 2, from 0 to 1), with references that are
+Jensen-Shannon distance (the divergence's square root; base 2, from 0 to 1), with references that are
 counted over the whole corpus, one for each language. A document may follow any
 of the references; it is rejected where it is far from all of them. The guards
-are lengths: a histogram of few draws diverges by chance, so characters are
+are lengths: a histogram of few draws differs by chance, so characters are
 compared from ``min_chars`` on and words from ``min_words`` on.
 
 References take two scans. The first counts character classes exactly and finds
-the words with a share of at least 1/2000 in some task; any word with that share
-in the corpus has it in a task. The second counts these candidates exactly. Both
-send a bounded number of rows for each language from each task and are summed by
-Spark. Every language counts, however many there are: references hold at most 48
-words and 8 class counts each, and are broadcast; a document's comparison grows with
-their number. A language in which no word has that share (say, one written without
-blanks) has no reference, and divergence doesn't reject its documents.
+candidates: each task keeps ``KEPT_WORDS`` counters a language, and when they are
+full all are lowered together, so a counter is short of its word's count by at
+most the task's words / ``KEPT_WORDS``. A word with a share of 1/``SHARE`` in the
+corpus has that share in some task, and no such word can be missed there, as long
+as KEPT_WORDS is greater than SHARE. The second scan counts the candidates
+exactly. Both send a bounded number of rows for each language from each task and
+are summed by Spark. Every language counts, however many there are: references
+hold at most 48 words and 8 class counts each, and are broadcast; a document's
+comparison grows with their number. A language in which no word has that share
+(say, one written without blanks) has no reference, and distance doesn't reject
+its documents.
 
 Defined cases: null texts have no words and fail the base rules; a null language
 counts as the language ''; repeated rows are judged one by one and count each
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import in_workers, sliced, table
+from weft.llm.common import cut, in_workers, sliced, table
 
 SYMBOLS = "#*$%&|<>"
 MARKS = b".,;:!?'\"()-"
@@ -40,9 +44,10 @@ CLASSES = ("vowel", "consonant", "upper", "digit", "blank", "mark", "symbol", "b
 
 #: Common words of a reference, without the rest.
 COMMON = 48
-CANDIDATES = 256
 SHARE = 2000
-KEPT_WORDS = 300_000
+#: Candidates of a language that are counted exactly; at most SHARE words can have that share.
+CANDIDATES = 2 * SHARE
+KEPT_WORDS = 100_000
 
 
 def _class_table() -> np.ndarray:
@@ -78,8 +83,8 @@ def bare(words: list[bytes]) -> list[bytes]:
     return [w.strip(MARKS) for w in b" ".join(words).lower().split(b" ")]
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence of counts ``p``, one row or as many as ``q``'s, from each row of ``q``."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of counts ``p``, one row or as many as ``q``'s, from each row of ``q``."""
     p = p / np.maximum(p.sum(-1, keepdims=True), 1)
     q = q / np.maximum(q.sum(-1, keepdims=True), 1)
     m = (p + q) / 2
@@ -87,7 +92,7 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     def part(x):
         return np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(-1)
 
-    return (part(np.broadcast_to(p, q.shape)) + part(q)) / 2
+    return np.sqrt(np.maximum((part(np.broadcast_to(p, q.shape)) + part(q)) / 2, 0))
 
 
 def _rows(counts: dict) -> pa.RecordBatch:
@@ -109,6 +114,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes: dict = defaultdict(lambda: np.zeros(len(CLASSES) - 1, np.int64))
     words: dict = defaultdict(Counter)
     total: Counter = Counter()
+    short: Counter = Counter()
     for batch in sliced(batches):
         for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
             data = text.encode()
@@ -116,13 +122,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = data.split()
             total[lang] += len(found)
             words[lang].update(bare(found))
-            # rare words go when there are too many: far below the share that counts
-            if len(c := words[lang]) > KEPT_WORDS:
-                least = sorted(c.values())[len(c) // 2]
-                words[lang] = Counter({w: n for w, n in c.items() if n > least})
+            if len(c := words[lang]) > 2 * KEPT_WORDS:
+                # at most KEPT_WORDS counters are greater than this, and each loses as much as those that go had
+                lost = sorted(c.values(), reverse=True)[KEPT_WORDS]
+                words[lang] = Counter({w: n - lost for w, n in c.items() if n > lost})
+                short[lang] += lost
     out = {(lang, b"\0" + bytes([i])): n for lang, c in classes.items() for i, n in enumerate(c)}
     for lang, c in words.items():
-        out |= {(lang, w): n for w, n in c.items() if w and SHARE * n >= total[lang]}
+        out |= {(lang, w): n + short[lang] for w, n in c.items() if w and SHARE * (n + short[lang]) >= total[lang]}
     yield _rows(out)
 
 
@@ -135,7 +142,8 @@ def references(df: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[n
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    first = in_workers(source, _candidates, _ROWS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    # written, since ranks by language are asked of it in more than one branch of the plan
+    first = cut(in_workers(source, _candidates, _ROWS).groupBy("lang", "key").agg(F.sum("n").alias("n")), "candidates")
     is_class = F.substring("key", 1, 1) == F.lit(b"\0")
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang", is_class).orderBy(F.desc("n"), "key")))
     # at most CANDIDATES + 8 rows of a language come to the driver
@@ -202,17 +210,17 @@ def judge(
     lang_col: str = "lang",
     min_words: int = 100,
     min_chars: int = 300,
-    far_words: float = 0.15,
-    far_chars: float = 0.08,
+    far_words: float = 0.39,
+    far_chars: float = 0.28,
     noise: float = 0.7,
     rows: bool = False,
 ) -> DataFrame:
-    """Per row: the id, base counts, ``base_failed``, ``kept``, the two divergences and the nearest language.
+    """Per row: the id, base counts, ``base_failed``, ``kept``, the two distances and the nearest language.
 
-    ``far_words`` widens by ``noise * (words in the histogram) / n_words``, about
-    what chance adds to the divergence of so few draws. With ``rows``, the kept
+    ``far_words`` widens by what chance adds to the distance of few draws: to its
+    square, ``noise * (words in the histogram) / (8 * n_words)``. With ``rows``, the kept
     rows of ``df`` come back instead of verdicts. A document whose language has
-    no reference is never rejected for its divergence.
+    no reference is never rejected for its distance.
     """
     at = df.columns.index(text_col) if rows else 1
     own_lang = F.coalesce(df[lang_col].cast("string"), F.lit(""))
@@ -243,17 +251,17 @@ def judge(
                 near, by_words, by_chars = None, None, None
                 if langs:
                     plain = Counter(bare(words))
-                    chars = divergence(class_counts(data), classes)
+                    chars = distance(class_counts(data), classes)
                     own = np.zeros(common.shape)
                     for w in plain.keys() & places.keys():
                         own.flat[places[w]] = plain[w]
                     own[:, -1] = n - own.sum(-1)
-                    each = divergence(own, common)
+                    each = distance(own, common)
                     k = int(np.argmin(each + chars))
                     near, by_words, by_chars = langs[k], float(each[k]), float(chars[k])
                 kept = not failed
                 if kept and lang in refs:
-                    if n >= min_words and by_words > far_words + noise * COMMON / n / 8:
+                    if n >= min_words and by_words > (far_words**2 + noise * COMMON / n / 8) ** 0.5:
                         kept = False
                     if base[0] >= min_chars and by_chars > far_chars:
                         kept = False
@@ -277,7 +285,7 @@ def judge(
     return in_workers(source, score, schema).withColumnRenamed("id", id_col)
 
 
-_NAMES = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_divergence", "char_divergence", "nearest"]
+_NAMES = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_distance", "char_distance", "nearest"]
 _TYPES = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2 + ["string"]
 
 
