@@ -96,6 +96,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def by_hash(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, the same ones every time: those with the least hashes of ``columns``.
+
+    The share of hashes that is looked at follows from the number of rows, so few
+    rows leave their tasks, however many tasks there are.
+    """
+    share = min(1.0, 4 * rows / max(df.count(), 1))
+    order = F.xxhash64(*columns)
+    few = df.filter(F.pmod(order, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return few.orderBy(F.pmod(order, F.lit(1 << 40)), order).limit(rows)
+
+
 def crc32_of_id(id_col: str) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))

@@ -28,7 +28,8 @@ def training_rows(
 
     At most ``most`` labelled texts of each class, outside the held-out remainder.
     Rows are taken by a hash of the id, so the sample is the same every time; their
-    texts are whole. Ids with contradicting labels are left out.
+    texts are whole. Ids with contradicting labels are left out; of an id with several
+    texts, the least counts.
     """
     clean = (
         labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
@@ -45,7 +46,8 @@ def training_rows(
     rows = (
         docs.select(docs[id_col].alias("_i"), docs[text_col].cast("string").alias("_t"))
         .join(ids, F.col("_i") == F.col("_id"))
-        .select("_i", "_y", "_t")
+        .groupBy("_i", "_y")
+        .agg(F.min("_t").alias("_t"))
         .collect()
     )
     rows = sorted(((r["_i"], r["_y"], r["_t"] or "") for r in rows))

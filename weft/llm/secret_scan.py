@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weft.llm.common import in_workers, sliced, table
+from weft.llm.common import by_hash, in_workers, sliced, table
 
 # Fixed patterns of the base kinds. Letters of the keywords count in either case, in ASCII only.
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -414,9 +413,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The model's background is cut anywhere from the whole texts of ``sample_rows``
     rows, those of the whole table with the least hashes of id and text.
     """
-    body = df[text_col].cast("string")
-    least = df.orderBy(F.xxhash64(df[id_col], body)).limit(sample_rows)
-    sample = [r[0] or "" for r in least.select(body).collect()]
+    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    sample = [r["text"] or "" for r in by_hash(source, ["id", "text"], sample_rows).collect()]
     shared = df.sparkSession.sparkContext.broadcast(train(training_windows(sample)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +433,6 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     id_type = df.schema[id_col].dataType.simpleString()
-    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     schema = f"id {id_type}, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string"
     return in_workers(source, scan, schema).withColumnRenamed("id", id_col)
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.common import in_workers, sliced, table
+from weft.llm.common import by_hash, in_workers, sliced, table
 
 #: Longer chunks are encoded each time: they rarely repeat and would fill caches.
 CHUNK_BYTES = 64
@@ -62,13 +62,22 @@ class Lengths(dict):
 _kept: dict[str, Lengths] = {}
 
 
-def frequent_lengths(df: DataFrame, text_col: str, path: str, sample_rows: int, table_size: int) -> tuple[bytes, bytes]:
-    """The sample's most frequent chunks, joined by blanks, and a byte for each length."""
-    counts: Counter = Counter()
-    for row in df.select(text_col).limit(sample_rows).toLocalIterator():
-        counts.update(x for x in (row[0] or "").encode().split() if len(x) <= CHUNK_BYTES)
+def frequent_lengths(df: DataFrame, path: str, sample_rows: int, table_size: int) -> tuple[bytes, bytes]:
+    """Frequent chunks of ``df`` (id, text), joined by blanks, and a byte for each length.
+
+    Chunks of at most ``sample_rows`` rows are counted, in one task; the driver gets the table only.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in sliced(batches, 64):
+            for text in batch.column(1).to_pylist():
+                counts.update(x for x in (text or "").encode().split() if len(x) <= CHUNK_BYTES)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts.most_common(table_size)], pa.binary())], ["chunk"])
+
+    sample = by_hash(df, ["id", "text"], sample_rows)
     lengths = Lengths(path)
-    found = [(x, lengths[x]) for x, _ in counts.most_common(table_size)]
+    found = [(x, lengths[x]) for x in (bytes(r[0]) for r in in_workers(sample, count, "chunk binary").limit(table_size).collect())]
     found = [(x, n) for x, n in found if n < 256]
     return b" ".join(x for x, _ in found), bytes(n for _, n in found)
 
@@ -84,7 +93,8 @@ def count_tokens(
 ) -> DataFrame:
     """Per row: the id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``."""
     spark = df.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_lengths(df, text_col, path, sample_rows, table_size))
+    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    frequent = spark.sparkContext.broadcast(frequent_lengths(source, path, sample_rows, table_size))
     id_type = df.schema[id_col].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +115,6 @@ def count_tokens(
             )
 
     schema = f"id {id_type.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     return in_workers(source, count, schema).withColumnRenamed("id", id_col)
 
 
