@@ -1,6 +1,9 @@
 """Quality, toxicity, secrets and privacy."""
 
+import math
+import os
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,9 +13,10 @@ pytest.importorskip("weft.llm")
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from weft.llm import compression_quality, pii, quality_rules, secret_scan, toxicity  # noqa: E402
+from weft.llm import compression_quality, labelled, pii, quality_rules, secret_scan, toxicity  # noqa: E402
 
-SF = "/root/testdata/sf0.01"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+KEY = b"a key for tests"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -46,6 +50,70 @@ def test_base_rules_equal_a_plain_version(documents):
         assert not (r["kept"] and r["base_failed"])
 
 
+def plain_distance(p, q):
+    a, b = max(sum(p), 1), max(sum(q), 1)
+    total = 0.0
+    for x, y in zip(p, q, strict=True):
+        x, y = x / a, y / b
+        m = (x + y) / 2
+        total += (x * math.log2(x / m) if x else 0) / 2 + (y * math.log2(y / m) if y else 0) / 2
+    return math.sqrt(max(total, 0))
+
+
+def plain_class(c):
+    if ord(c) >= 0x80:
+        return 7
+    if c in "aeiouy":
+        return 0
+    kinds = [c.islower(), c.isupper(), c.isdigit(), c in " \t\n\x0b\x0c\r", c in ".,;:!?'\"()-"]
+    return kinds.index(True) + 1 if any(kinds) else 6
+
+
+def test_verdicts_equal_a_plain_version(documents):
+    rows = [(r["doc_id"], r["text"] or "", r["lang"] or "") for r in documents.select("doc_id", "text", "lang").collect()]
+
+    def bare(text):
+        return Counter(w.decode() for w in quality_rules.bare(text.encode().split()))
+
+    words, classes = {}, {}
+    for _, text, lang in rows:
+        words.setdefault(lang, Counter()).update(bare(text))
+        classes.setdefault(lang, Counter()).update(map(plain_class, text))
+    refs = {}
+    for lang, found in words.items():
+        total = sum(found.values())
+        common = sorted((w for w, n in found.items() if w and 2000 * n >= total), key=lambda w: (-found[w], w.encode()))[:48]
+        if common:
+            counts = [found[w] for w in common]
+            refs[lang] = (common, [*counts, total - sum(counts)], [classes[lang][k] for k in range(8)])
+    got = {r["doc_id"]: r for r in quality_rules.judge(documents).collect()}
+    for i, text, lang in rows[::3]:
+        own, mine, n = bare(text), Counter(map(plain_class, text)), len(WORD.findall(text))
+        best = None
+        for name, (common, counts, chars) in sorted(refs.items()):
+            hit = [own[w] for w in common]
+            each = plain_distance([*hit, n - sum(hit)], counts), plain_distance([mine[k] for k in range(8)], chars)
+            if best is None or sum(each) < sum(best) - 1e-12:
+                best = each
+        kept = not got[i]["base_failed"]
+        if kept and lang in refs:
+            kept = not (n >= 100 and best[0] > math.sqrt(0.39**2 + 0.7 * 48 / n / 8)) and not (got[i]["word_chars"] >= 300 and best[1] > 0.28)
+        assert got[i]["kept"] == kept
+        assert (got[i]["word_distance"], got[i]["char_distance"]) == pytest.approx(best, abs=1e-9)
+
+
+def test_candidates_survive_crowded_counters(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality_rules, "KEPT_WORDS", 20)
+    monkeypatch.setattr(quality_rules, "SHARE", 10)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["often"] * 13 + [f"w{k}" for k in rng.integers(0, 10_000, 87)]) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 40), pa.array(texts)], ["lang", "text"])
+    found = [r for b in quality_rules._candidates(iter([batch.slice(i, 1) for i in range(40)])) for r in b.to_pylist()]
+    assert any(r["key"] == b"often" and r["n"] >= 13 * 40 for r in found)
+
+
 def test_rules_keep_good_documents(spark, documents):
     kept = quality_rules.judge(documents).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("NOT base_failed")
     share = {r["quality"]: r["s"] for r in kept.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
@@ -80,7 +148,7 @@ def test_hard_rows(spark, hard):
     assert all(0 <= r["score"] <= 1 for r in compression_quality.score_quality(hard, model, "doc_id", "text").collect())
     scanned = secret_scan.scan_secrets(hard)
     assert scanned.count() == 6 and all(r["spans"] == "" for r in scanned.collect())
-    assert pii.pseudonymise(hard).count() == 6 and labels.count() == 2
+    assert pii.pseudonymise(hard, KEY).count() == 6 and labels.count() == 2
 
 
 def test_every_language_has_a_reference(spark):
@@ -125,6 +193,77 @@ def test_training_texts_are_whole(spark, tmp_path, monkeypatch, module, query):
     assert learnt and set(learnt) <= set(texts.values())
 
 
+def test_training_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(1, "other")] * 50 + [(None, "x")], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(150)] + [(2, 1), (4, 1), (7, None), (None, 1), (9999, 1), (11, 5)]
+    frame = spark.createDataFrame(labels, "doc_id long, y int")
+    texts, y, share = labelled.training_rows(docs, frame, "y", 4, 2, 1000)
+    ids = [i for i in range(150) if zlib.crc32(str(i).encode()) % 4 != 2 and i not in (2, 4)]
+    assert sorted(texts) == sorted("other" if i == 1 else f"text {i}" for i in ids)
+    assert dict(zip(texts, y.tolist(), strict=True)) == {("other" if i == 1 else f"text {i}"): i % 2 for i in ids}
+    assert share == pytest.approx((sum(i % 2 for i in ids) + (zlib.crc32(b"9999") % 4 != 2)) / (len(ids) + (zlib.crc32(b"9999") % 4 != 2)))
+    few, y, _ = labelled.training_rows(docs, frame, "y", 4, 2, 10)
+    assert Counter(y.tolist()) == {0: 10, 1: 10}
+    none = labelled.training_rows(docs, frame.limit(0), "y", 4, 2, 10)
+    assert none[0] == [] and none[2] == 0 and toxicity.fit(*none) is None and compression_quality.fit(*none) is None
+
+
+def test_empty_tables_and_repeated_rows(spark, hard, tmp_path):
+    hard.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (compression_quality.op2_compression_quality, toxicity.op9_factorization_toxicity):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == 6 and all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in rows)
+        assert all(r["held_out"] is not None for r in rows)
+    none = hard.limit(0)
+    assert secret_scan.scan_secrets(none).count() == pii.pseudonymise(none, KEY).count() == quality_rules.keep_good(none).count() == 0
+    for score, model in ((compression_quality.score_quality, None), (toxicity.score_toxicity, None)):
+        assert score(none, model, "doc_id", "text").count() == 0
+    again = pii.pseudonymise(hard, KEY)
+    assert again.columns == hard.columns and again.filter("doc_id = 4").count() == 2
+
+
+def test_machine_equals_a_plain_sum_over_pairs():
+    rng = np.random.default_rng(9)
+    n = 40
+    model = toxicity.Model(-0.5, rng.normal(size=n), rng.normal(size=(n, toxicity.FACTORS)), {}, (1.0, 0.0))
+    for size in (0, 1, 2, 15, 40):
+        x = np.sort(rng.permutation(n)[:size])
+        plain = model.constant + sum(model.weights[i] for i in x)
+        plain += sum(float(model.vectors[i] @ model.vectors[j]) for k, i in enumerate(x) for j in x[k + 1 :])
+        assert toxicity.raw_score(model, x) == pytest.approx(plain)
+
+
+def test_compressed_sizes_equal_the_library_s():
+    import zstandard
+
+    good, bad = (compression_quality.build_dictionary([f"{w} {k} text of this kind. " * 20 for k in range(40)]) for w in ("good", "bad"))
+    sizes = compression_quality.Sizes(good, bad)
+    for text in ("good 7 text of this kind. " * 300, "bad", "é" * 3000):
+        data = text.encode()
+        plain = []
+        for words in (good, bad):
+            c = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=False, write_content_size=False, write_dict_id=False)
+            plain.append(sum(len(c.compress(data[i : i + 2048])) for i in range(0, len(data), 2048)))
+        assert sizes.features(text)[0] == pytest.approx(10 * (plain[1] - plain[0]) / sum(plain), abs=0.2)
+
+
+def test_decoding_equals_viterbi_over_the_whole_text(tagger, documents):
+    for r in documents.select("text").limit(150).collect():
+        words = secret_scan._words(r[0] or "")
+        if not words:
+            continue
+        at = tagger.scores.rows_of(words)
+        rows = tagger.scores.rows[at]
+        e = rows[:, :3].copy()
+        e[1:] += rows[:-1, 3:6]
+        e[:-1] += rows[1:, 6:]
+        e += tagger.crf.file[[secret_scan._place(f) for f in secret_scan.file_features(len(words), int(tagger.scores.coded[at].sum()))]].sum(0)
+        tags = secret_scan.viterbi(e, tagger.crf.moves)
+        found = tagger.secret_words(words)
+        assert {k for a, b in found for k in range(a, b)} == {k for k, t in enumerate(tags) if t != secret_scan.OUTSIDE}
+
+
 def held_out_auc(spark, query, label):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = query(spark, SF).join(labels, "doc_id").filter("held_out").select("score", "predicted", label).collect()
@@ -220,18 +359,71 @@ def test_formats_stay(body, address, day):
         assert re.fullmatch(r"[\d./-]{10}", p.date(day.strftime(form)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcdefghijklmnopqrstuvwxyz", min_size=200, max_size=200), st.integers(0, 199))
+def test_no_part_of_a_long_address_survives(local, at):
+    p = pii.Pseudonyms(KEY)
+    new = p.email(f"{local}@corp.io").split("@")[0]
+    assert len(new) == 200 and sum(x == y for x, y in zip(local, new, strict=True)) < 40
+    # one other letter anywhere changes everything
+    other = local[:at] + ("a" if local[at] != "a" else "b") + local[at + 1 :]
+    assert sum(x == y for x, y in zip(new, p.email(f"{other}@corp.io"), strict=False)) < 40
+
+
+@pytest.mark.parametrize("local", ["иванпетров", "漢字漢字漢字", "σίγμαδέλτα", "ünïcödé", "o\u0308tto.o\u0308", "мир.漢x9"])
+def test_every_script_is_permuted(local):
+    p = pii.Pseudonyms(KEY)
+    text = f"by {local}@corp.io and {local}@почта.рф"
+    new, n = p.text(text)
+    assert n == 2 and len(new) == len(text)
+    for a, b in zip(text[3:].split("@")[0], new[3:].split("@")[0], strict=True):
+        assert b in pii.class_of(a) and a in pii.class_of(b)
+    assert sum(a == b for a, b in zip(local, new[3:], strict=False)) < len(local) / 2 + 1
+    assert "corp" not in new and "почта" not in new
+
+
+def test_permutations_within_wide_domains_can_be_undone():
+    f = pii.Feistel(b"k")
+    rng = np.random.default_rng(2)
+    for bits in (130, 600, 5000):
+        n = (1 << bits) - 3
+        value = int.from_bytes(rng.bytes(bits // 8), "big")
+        there = f.permuted(value, n, b"x")
+        assert f.permuted(there, n, b"x", back=True) == value and there >> (bits - 64) != value >> (bits - 64)
+
+
+def test_social_security_numbers_are_validated():
+    p = pii.Pseudonyms(KEY)
+    for wrong in ("000-12-3456", "666-12-3456", "123-00-4567", "123-45-0000", "912-30-1234"):
+        assert p.ssn(wrong) is None and p.text(f"no {wrong} no") == (f"no {wrong} no", 0)
+    seen = set()
+    for area in (1, 665, 667, 899):
+        new = p.ssn(f"{area:03d}-01-0001")
+        assert p.ssn(new) is not None and new[:3] not in ("000", "666") and int(new[:3]) < 900
+        seen.add(new)
+    assert len(seen) == 4 and int(p.ssn("912-70-1234")[:3]) >= 900
+
+
+def test_keys_are_the_session_s(spark):
+    before = pii.session_key(spark)
+    assert len(before) == 64 and pii.session_key(spark) == before
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == b"mine"
+    spark.conf.set(pii.KEY_SETTING, before.decode())
+
+
 def test_pseudonyms_link_and_hide(spark):
     text = "ö.é5@corp.io wrote from 8.8.8.8 on 1999-02-28 about DE89370400440532013000, +1 (017) 555-7713, 123-45-6789 and 4111 1111 1111 1111. 999.1.1.1 and 1999-13-45 stay."
     df = spark.createDataFrame([(1, text, 1), (2, text + " Again: 8.8.8.8", 2), (3, None, 3)], "doc_id long, text string, n int")
-    a, b, c = (r["text"] for r in pii.pseudonymise(df).orderBy("doc_id").collect())
+    a, b, c = (r["text"] for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect())
     assert c is None and b.startswith(a)
     for private in ("é5@corp", "8.8.8.8", "1999-02-28", "DE8937", "555-7713", "123-45-6789", "4111 1111"):
         assert private not in a
     assert "999.1.1.1 and 1999-13-45 stay." in a
-    assert pii.Pseudonyms(b"other").text(text)[0] != pii.Pseudonyms(pii.DEFAULT_KEY).text(text)[0]
+    assert pii.Pseudonyms(b"other").text(text)[0] != pii.Pseudonyms(KEY).text(text)[0]
     assert re.fullmatch(text_shape(text), a)
     with pytest.raises(ValueError):
-        pii.pseudonymise(df, count_col="n")
+        pii.pseudonymise(df, KEY, count_col="n")
 
 
 def text_shape(text):

@@ -28,7 +28,7 @@ def test_stages(spark, data):
     assert set(texts[2]) == {min(g)[1] for g in groups.values()}
     components = brute(list(texts[2].items()))
     assert set(texts[3]) == {i for i, (_, c) in components.items() if c == i}
-    names = pii.Pseudonyms(pii.DEFAULT_KEY)
+    names = pii.Pseudonyms(pii.session_key(spark))
     assert texts[4] == {i: names.text(t)[0] for i, t in texts[3].items()}
     assert {r["doc_id"] for r in kept[5].collect()} == set(texts[4])
     assert corpus_pipeline.run(spark, data).count() == kept[5].count()

@@ -196,6 +196,25 @@ def test_pieces_round_trip(spark, docs):
     assert all(r["decoded"] or "▁" in (TEXTS[r["doc_id"]] or "") for r in summary)
 
 
+def test_counts_and_ids_of_whole_documents(spark, data, word_bpe, bpe):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    counted = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), sample_rows=20).collect()}
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in texts.items():
+        assert counted[i] == len(word_bpe.encode(t or "", add_special_tokens=False).ids)
+        assert np.frombuffer(ids.of(t or ""), "<u4").tolist() == bpe.encode(t or "", add_special_tokens=False).ids
+
+
+def test_counts_and_packing_of_repeated_rows_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
+    counted = tokens.count_tokens(rows, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in counted) == [("1", 2), ("1", 2), ("None", 0), ("None", 1)]
+    packed = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(packed) == 4 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 4
+    assert sum(r["length"] for r in packed) == 3 + 3 + 2 + 1 and len({r["sequence_id"] for r in packed}) == 1
+
+
 def test_caches_may_be_tiny(monkeypatch, encoder):
     monkeypatch.setattr(pieces, "CACHE_RUNS", 4)
     monkeypatch.setattr(tokens, "CACHE_CHUNKS", 4)
