@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,19 +118,28 @@ def _bit(keys: list[Column], filter_bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << filter_bits))
 
 
-#: Bits for each key of a bitmap, and the most that one has (16 MB).
-BITS_A_KEY, MOST_BITS = 32, 27
+#: Bits for each key of a bitmap, the most that one has (16 MB), and those that go into a plan as they are.
+BITS_A_KEY, MOST_BITS, PLAIN_BITS = 32, 27, 17
 
 
-def bitmap_of(groups: DataFrame, keys: list[str]) -> Column:
+def bitmap_of(groups: DataFrame, keys: list[str], plain: bool = True) -> Column:
     """Whether a row's ``keys`` may be among those of ``groups``: a bitmap, probed per row.
 
     True for all of them and for few others, so a join or a hash may follow on
     less rows. The bitmap grows with the number of groups, which are counted here,
     up to ``2**MOST_BITS`` bits. Beyond, more rows pass, at last all: what follows
-    has more work then, and the same results.
+    has more work then, and the same results. A small one is a literal of the plan,
+    unless ``plain`` is false; a larger one is a scalar subquery.
     """
     filter_bits = max(12, min(MOST_BITS, (BITS_A_KEY * groups.count()).bit_length()))
+    bit = _bit([F.col(k) for k in keys], filter_bits)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    place = F.shiftright(bit, 6).cast("int")
+    if plain and filter_bits <= PLAIN_BITS:  # a bounded number of keys
+        bitmap = np.zeros(1 << (filter_bits - 6), np.int64)
+        for r in groups.select(place.alias("place"), mask.alias("mask")).collect():
+            bitmap[r["place"]] |= r["mask"]
+        return F.get(F.lit(bitmap), place).bitwiseAND(mask) != 0
     words = groups.select(_bit([F.col(k) for k in keys], filter_bits).alias("bit")).select(
         F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("bits")
     )
@@ -141,10 +151,7 @@ def bitmap_of(groups: DataFrame, keys: list[str]) -> Column:
         .agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
         .select(F.col("w.bits").alias("bitmap"))
     )
-    bit = _bit([F.col(k) for k in keys], filter_bits)
-    word = F.get(dense.scalar(), F.shiftright(bit, 6).cast("int"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    return word.bitwiseAND(mask) != 0
+    return F.get(dense.scalar(), place).bitwiseAND(mask) != 0
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -167,12 +174,12 @@ class Spread:
     #: Rows of a key that one task may have, and into how many parts a key is dealt at most.
     HEAVY, PARTS = 128, 256
 
-    def __init__(self, sizes: DataFrame, keys: list[str], size: str, top: int | None = None):
+    def __init__(self, sizes: DataFrame, keys: list[str], size: str, top: int | None = None, plain: bool = True):
         """``top`` is the largest size, where it is known."""
         if top is None:
             top = sizes.agg(F.max(size)).first()[0] or 0
         self.keys, self.parts = keys, min(self.PARTS, -(-top // self.HEAVY))
-        self.hot = bitmap_of(sizes.filter(F.col(size) > self.HEAVY), keys) if self.parts > 1 else None
+        self.hot = bitmap_of(sizes.filter(F.col(size) > self.HEAVY), keys, plain) if self.parts > 1 else None
 
     def many(self, rows: DataFrame, by: str) -> DataFrame:
         """``rows`` with ``part``."""

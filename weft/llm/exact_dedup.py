@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import BLANKS, bitmap_of, cut, free_name, table, text_or_empty
+from weft.llm.common import BLANKS, Spread, bitmap_of, cut, free_name, table, text_or_empty
 
 
 def normalised(text_col: str) -> Column:
@@ -55,9 +55,9 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, prefix: int, digest: bool
     )
     # level 1: lengths; level 2: prefixes within the lengths that are left
     by_length = cut(facts.groupBy("_len").count().filter("count > 1"), "exact-lengths")
-    long_enough = facts.filter(bitmap_of(by_length, ["_len"]))
+    long_enough = facts.filter(bitmap_of(by_length, ["_len"], plain=False))
     by_head = cut(long_enough.groupBy("_len", "_head").count().filter("count > 1"), "exact-heads")
-    survives = bitmap_of(by_head, ["_len", "_head"])
+    survives = bitmap_of(by_head, ["_len", "_head"], plain=False)
     if digest:
         return facts.select("_id", "_points", survives.alias("_open"), "_sha")
     full = keyed.withColumn("_open", survives).withColumn("_sha", F.when(F.col("_open"), sha))
@@ -69,11 +69,16 @@ def _order() -> Column:
     return F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id"))
 
 
-def _groups(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level 3: documents, with ``_copies`` rows each, and groups; both summed before the shuffle as well."""
-    documents = hashed.filter("_open").groupBy("_sha", "_id", "_points").agg(F.count("*").alias("_copies"))
-    groups = documents.groupBy("_sha").agg(F.min(_order()).alias("_best"), F.sum("_copies").alias("_size"))
-    return documents, groups
+def _grouped(hashed: DataFrame) -> DataFrame:
+    """Level 3: documents, of ``_copies`` rows each, with their groups; both summed before the shuffle as well."""
+    documents = cut(
+        hashed.filter("_open").groupBy("_sha", "_id", "_points").agg(F.count("*").alias("_copies")), "exact-documents"
+    )
+    groups = documents.groupBy("_sha").agg(
+        F.min(_order()).alias("_best"), F.sum("_copies").alias("_size"), F.count("*").alias("_documents")
+    )
+    # a large group's documents meet its one row in several tasks
+    return Spread(groups, ["_sha"], "_documents", plain=False).join(documents, groups, "_id")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, digest: bool = False) -> DataFrame:
@@ -86,9 +91,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     every row.
     """
     hashed = _hashed(df, id_col, text_col, prefix, digest)
-    documents, groups = _groups(hashed)
     best = F.col("_best")
-    found = documents.join(groups, "_sha").withColumn("_stays", _order() == best)
+    found = _grouped(hashed).withColumn("_stays", _order() == best)
 
     def out(rows: DataFrame, kept: Column) -> DataFrame:
         return rows.select(
@@ -117,16 +121,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     The columns are those of ``df``. What goes is looked up: rows that can't be
     among it, by id and length, pass without being hashed or shuffled.
     """
-    documents, groups = _groups(_hashed(df, id_col, text_col, prefix, False))
     marks = (
-        documents.join(groups, "_sha")
+        _grouped(_hashed(df, id_col, text_col, prefix, False))
         .select("_sha", "_id", "_points", (_order() == F.col("_best")).alias("_stays"), "_copies")
         .filter("NOT _stays OR _copies > 1")
     )
     marks = cut(marks, "exact-marks")
     points, maybe, sha = (free_name(df, n) for n in ("points", "maybe", "sha"))
     key = df.select("*", F.char_length(text_or_empty(text_col)).alias(points))
-    found = bitmap_of(marks.select(F.col("_id").alias(id_col), F.col("_points").alias(points)), [id_col, points])
+    found = bitmap_of(marks.select(F.col("_id").alias(id_col), F.col("_points").alias(points)), [id_col, points], plain=False)
     rows = key.withColumn(maybe, found)
     asked = rows.filter(F.col(maybe)).withColumn(sha, F.sha2(normalised(text_col), 256))
     same = asked[id_col].eqNullSafe(marks["_id"]) & (asked[points] == marks["_points"]) & (asked[sha] == marks["_sha"])

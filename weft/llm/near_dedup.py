@@ -48,7 +48,7 @@ LEAST = 85
 #: Estimates below are given up: five standard errors below the threshold.
 LEAST_ESTIMATE = 0.71
 #: Classes, and shingles, that a block of a bucket or cluster has about.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 500_000
 
 _hashes = WordHashes()
 

@@ -47,7 +47,7 @@ COMMON = 48
 SHARE = 2000
 #: Candidates of a language that are counted exactly; at most SHARE words can have that share.
 CANDIDATES = 2 * SHARE
-KEPT_WORDS = 100_000
+KEPT_WORDS = 50_000
 
 
 def _class_table() -> np.ndarray:

@@ -22,7 +22,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes by word; emptied when full."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
