@@ -19,9 +19,19 @@ from weft.runtime import ship_package
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch, where the session has Spark's default.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", 1024
+
+
 def in_workers(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers."""
+    """``mapInArrow`` with this package importable in the workers.
+
+    Batches are kept small unless the session says otherwise: texts may be long,
+    and both sides hold whole batches.
+    """
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
     return df.mapInArrow(function, schema)
 
 
@@ -118,8 +128,8 @@ def _bit(keys: list[Column], filter_bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << filter_bits))
 
 
-#: Bits for each key of a bitmap, the most that one has (16 MB), and those that go into a plan as they are.
-BITS_A_KEY, MOST_BITS, PLAIN_BITS = 32, 27, 17
+#: Bits for each key of a bitmap, the most that one has (8 MB), and those that go into a plan as they are.
+BITS_A_KEY, MOST_BITS, PLAIN_BITS = 16, 26, 16
 
 
 def bitmap_of(groups: DataFrame, keys: list[str], plain: bool = True) -> Column:

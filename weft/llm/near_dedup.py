@@ -199,8 +199,8 @@ def _bucket_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         forest, a, b = Forest(len(names)), [], []
         touched = np.zeros(len(c), bool)
         for i, j in _pairs(comp, _sides(group.column(1))):
-            for at in range(0, len(i), 8192):
-                x, y = i[at : at + 8192], j[at : at + 8192]
+            for at in range(0, len(i), 2048):
+                x, y = i[at : at + 2048], j[at : at + 2048]
                 likely = _likely(sketch, regs[x], regs[y], n[x], n[y])
                 x, y = x[likely], y[likely]
                 touched[x] = touched[y] = True
@@ -229,7 +229,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     row = row[shared]
     column = np.unique(column[shared], return_inverse=True)[1] if shared.any() else column[:0]
     out = np.zeros((n, n), np.float32)
-    width = max(256, 8_000_000 // n)
+    width = max(256, 2_000_000 // n)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [at, at + width])
         part = np.zeros((n, width), np.float32)
