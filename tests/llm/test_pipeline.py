@@ -32,3 +32,19 @@ def test_stages(spark, data):
     assert texts[4] == {i: names.text(t)[0] for i, t in texts[3].items()}
     assert {r["doc_id"] for r in kept[5].collect()} == set(texts[4])
     assert corpus_pipeline.run(spark, data).count() == kept[5].count()
+
+
+def test_hard_rows_pass_through_all_stages(spark, data):
+    good = "the people of the town went to the market and they saw that all of it was good for them in the end . " * 4
+    texts = [(1, good + "by ann@corp.io"), (1, good + "by ann@corp.io"), (None, good + "and no id"), (2, None), (3, ""), (4, good.replace(" ", "  ") + "by  ann@corp.io"), (5, "x" * 50_000)]
+    rows = [(i, t, lang, f"v{k}", k, "p", "r") for k, ((i, t), lang) in enumerate(zip(texts, ["en", None, "en", "en", "xx", "en", "en"], strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, key string, part int, points string, root string")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            kept = cut(stage(spark, kept, data), "hard")
+            if name != "packing":
+                assert kept.columns == docs.columns
+            if name == "exact dedup" and table is docs:
+                assert kept.filter("text LIKE '%ann@%'").count() <= 1
+        assert table is docs or kept.count() == 0
